@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.expr import ratio
 from barloom.functions.frames import by_symbol, forward_fill, lagged, rolling, to_date, trailing
-from barloom.operators.align import align_intersection, drop_warmup
+from barloom.operators.align import calendar_positions, common_dates
 from barloom.operators.clean import ffill_bfill
 from barloom.operators.ewm import Ewm, ewm, span_alpha
+from barloom.operators.sizing import join_per_date
 
 # Window lengths of the feature set.
 ROC_WINDOWS = (3, 5, 10, 14, 20, 60)
@@ -210,7 +211,9 @@ def build_feature_matrix(bars: DataFrame, warmup: int = 60, small_dates: bool =
     The backward fill carries the first full VOL_norm_252 back over earlier rows, as the pipeline defines it.
     """
     table = ffill_bfill(compute_features(bars), FEATURES).select("symbol", "date", *FEATURES)
-    return drop_warmup(align_intersection(table, small_dates), warmup, small_dates)
+    # Features keep the keys of the bars, so the dates come from the bars and the features are computed once.
+    kept = calendar_positions(common_dates(bars.select("symbol", "date"))).where(F.col("pos") >= warmup).select("date")
+    return join_per_date(table, kept, how="left_semi", small_dates=small_dates)
 
 
 def feature_matrix_long(table: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:

@@ -318,7 +318,7 @@ def feature_sql() -> dict[str, str]:
         out[f"WILLR_{w}"] = f"-100 * (({h}) - close) / nullif(({h}) - ({l}), 0)"
     for w in FT.CCI_WINDOWS:
         out[f"CCI_{w}"] = f"""(tp - m{w}) / (0.015 * greatest(list_sum(list_transform(
-            list(tp) over ({WSYM} rows between {w - 1} preceding and current row), x -> abs(x - m{w}))) / {w}, 1e-8))"""
+            list(tp) over ({WSYM} rows between {w - 1} preceding and current row), lambda x: abs(x - m{w}))) / {w}, 1e-8))"""
     for w in FT.DC_WINDOWS:
         h, l = roll("max", "high", w), roll("min", "low", w)
         out |= {f"DC_upper_{w}": h, f"DC_lower_{w}": l, f"DC_width_{w}": f"({h}) - ({l})"}
@@ -378,8 +378,10 @@ CHECKS: dict[str, str] = {}
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
-    """Rounded column; adding zero turns -0.0 into 0.0."""
-    return f"round(cast({expr} as double), {digits}) + 0.0 as {name}"
+    """Rounded column, by the same rule as the queries; adding zero turns -0.0 into 0.0."""
+    x = f"cast({expr} as double)"
+    return (f"case when abs({x}) >= 1e6 then cast(printf('%.9e', {x}) as double) "
+            f"else round({x} + 1e-9, {digits}) + 0.0 end as {name}")
 
 
 def cols(names, digits: int = 6) -> str:
@@ -523,7 +525,7 @@ for _n, _p, _d in (("E1_roc", "ROC_", 5), ("E2_rsi", "RSI_", 5), ("E3_ema", "EMA
     _feature(_n, _p, _d)
 check("E3_ema_gaps", "select symbol, date, " + ", ".join(
     r(f"last_value(e.EMA_{s} ignore nulls) over ({UPTO})", f"EMA_{s}", 4) for s in FT.EMA_SPANS)
-    + f", {r('a.close', 'close', 4)} from aligned_w a left join ema_gaps e using (symbol, date)")
+    + " from aligned_w a left join ema_gaps e using (symbol, date)")
 CTE["feature_filled"] = ffill_bfill("features", FT.FEATURES)
 check("E21_build_feature_matrix", f"""select symbol, date, {cols(FT.FEATURES, 4)} from feature_filled where date in (
   select date from (select date, row_number() over (order by date) as pos from (select distinct date from feature_filled))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType
 
 from barloom.functions import logits as L
 from barloom.operators import (align, clean, evaluate, features, graph, nav, portfolio, reports, scoring, sizing, targets,
@@ -16,14 +16,23 @@ from barloom.sources import readers, writers
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def comparable(name: str, digits: int):
+    """Round so that two engines' sums compare equal: to ``digits`` decimals, values from a million on to ten figures.
+
+    The small shift keeps exact decimal ties, which engines round differently, away from the edge.
+    """
+    x = F.col(name).cast("double")
+    return F.when(F.abs(x) >= 1e6, F.format_string("%.9e", x).cast("double")).otherwise(
+        F.round(x + 1e-9, digits)).alias(name)
+
+
 def query(name: str, digits: int = 6):
-    """Register a query; double columns of its result are rounded so two engines' sums compare equal."""
+    """Register a query; double columns of its result are made comparable."""
     def wrap(f):
         def run(spark: SparkSession, sf: str) -> DataFrame:
             out = f(spark, sf)
-            return out.select(*[F.round(F.col(c.name).cast("double"), digits).alias(c.name)
-                                if isinstance(c.dataType, (DoubleType, FloatType)) else F.col(c.name)
-                                for c in out.schema])
+            return out.select(*[comparable(c.name, digits) if isinstance(c.dataType, (DoubleType, FloatType))
+                                else F.col(c.name) for c in out.schema])
         run.__name__ = name
         run.__doc__ = f.__doc__
         QUERIES[name] = run
@@ -336,13 +345,12 @@ _feature("E20_compute_features", features.FEATURES, 4, features.compute_features
 @query("E3_ema_gaps", 4)
 def _(spark, sf):
     """EMA over the unfilled calendar: gaps weigh by their length."""
-    return features.ema(V.aligned(spark, sf).select("symbol", "date", "close"))
+    return features.ema(V.aligned(spark, sf).select("symbol", "date", "close")).drop("close")
 
 
 @query("E21_build_feature_matrix", 4)
 def _(spark, sf):
-    bars = clean.drop_sparse_symbols(V.filled(spark, sf))
-    return features.build_feature_matrix(bars, small_dates=fits(spark, sf))
+    return features.build_feature_matrix(V.panel(spark, sf), small_dates=fits(spark, sf))
 
 
 @query("E22_feature_matrix_long", 4)
@@ -455,9 +463,10 @@ def _windowed(spark, sf) -> DataFrame:
 
 def _cells(df: DataFrame, keys: list[str], **arrays: str) -> DataFrame:
     """One row per array element, the element named."""
-    parts = F.flatten(F.array(*[F.transform(F.col(a), lambda v, i, n=n: F.struct(
-        F.lit(n).alias("part"), i.alias("i"), v.alias("v"))) for n, a in arrays.items()]))
-    return df.select(*keys, F.inline(parts))
+    def named(part: str, column: str):
+        return F.transform(F.col(column), lambda v, i: F.struct(F.lit(part).alias("part"), i.alias("i"), v.alias("v")))
+
+    return df.select(*keys, F.inline(F.flatten(F.array(*[named(p, c) for p, c in arrays.items()]))))
 
 
 @query("G7_sliding_windows")

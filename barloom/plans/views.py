@@ -40,7 +40,27 @@ def _ohlc(rows: DataFrame, order: Column) -> DataFrame:
         F.max_by("price", order).alias("close"), F.sum("amount").alias("volume"))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Result several queries start from, written once per process as Parquet and read back.
+
+    The written table cuts the lineage: a lost executor rereads files instead of replaying the chain, and the plans
+    of the queries stay short.
+    """
+    if (sf, name) not in _stored:
+        path = scratch(spark, name)
+        build().write.parquet(path)
+        _stored[sf, name] = path
+    return spark.read.parquet(_stored[sf, name])
+
+
 def bars(spark: SparkSession, sf: str, unit: str = "week") -> DataFrame:
+    return stored(spark, sf, f"bars-{unit}", lambda: build_bars(spark, sf, unit))
+
+
+def build_bars(spark: SparkSession, sf: str, unit: str = "week") -> DataFrame:
     li = table(spark, sf, "lineitem")
     day = F.to_date("l_shipdate")
     date = F.trunc(day, UNITS[unit]) if UNITS[unit] else day
@@ -67,18 +87,27 @@ def filled(spark: SparkSession, sf: str, unit: str = "week", n: int = 5) -> Data
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly bars on the master calendar, gaps filled: no missing cell."""
+    return stored(spark, sf, "panel", lambda: build_panel(spark, sf))
+
+
+def build_panel(spark: SparkSession, sf: str) -> DataFrame:
     return clean.ffill_bfill(clean.drop_sparse_symbols(filled(spark, sf)))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """(date, symbol, score): cross-section z-score of the five-week change known a week earlier."""
+    return stored(spark, sf, "scores", lambda: build_scores(spark, sf))
+
+
+def build_scores(spark: SparkSession, sf: str) -> DataFrame:
     known = panel(spark, sf).select("symbol", "date", ((ratio(lagged("close", 1), lagged("close", 6)) - 1) * 100)
                                     .alias("score")).where(F.col("score").isNotNull())
     return xsection.cs_zscore(known, ["score"], small_dates(spark, sf)).select("date", "symbol", "score")
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    return targets.forward_return(panel(spark, sf), small_dates=small_dates(spark, sf))
+    return stored(spark, sf, "labels", lambda: targets.forward_return(
+        panel(spark, sf), small_dates=small_dates(spark, sf)))
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
