@@ -19,10 +19,6 @@ def to_date() -> WindowSpec:
     return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_date() -> WindowSpec:
-    return by_symbol().rowsBetween(0, Window.unboundedFollowing)
-
-
 def rolling(agg, x: Column | str, k: int) -> Column:
     """Trailing aggregate over k rows, NULL until k values are present."""
     frame = trailing(k)
@@ -38,4 +34,6 @@ def forward_fill(x: Column | str) -> Column:
 
 
 def backward_fill(x: Column | str) -> Column:
-    return F.first(col(x), ignorenulls=True).over(from_date())
+    """Next known value. A running frame over descending dates: a frame reaching to the end would be rebuilt per row."""
+    back = Window.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(col(x), ignorenulls=True).over(back)

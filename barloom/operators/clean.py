@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions import frames
-from barloom.functions.expr import inf_to_null, nan_to_zero, ratio
+from barloom.functions.expr import inf_to_null, nan_to_zero, ratio, varies
 from barloom.functions.strings import format_symbol, normalise_ticker
 
 PRICE_FIELDS = ("open", "high", "low", "close", "volume")
@@ -127,10 +127,10 @@ def mad_clip(df: DataFrame, columns: Sequence[str], n: float = 3.0) -> DataFrame
 def zscore_symbol(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per symbol, population deviation, zero deviation scales by 1."""
     stats = df.groupBy("symbol").agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
-                                     *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+                                     *[F.when(varies(c), F.stddev_pop(c)).alias(f"_s_{c}") for c in columns])
 
     def scaled(c: str) -> Column:
-        return (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
+        return (F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.col(f"_s_{c}"), F.lit(1.0))
 
     return with_columns_by(df.join(stats, "symbol"), columns, scaled).select(*df.columns)
 

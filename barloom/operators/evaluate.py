@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.functions.expr import guarded_corr, ratio
+from barloom.functions.expr import deviation, guarded_corr, ratio
 from barloom.functions.logits import argmax_class, parse_logits, softmax
 from barloom.operators.ranking import average_rank
 
@@ -26,7 +26,7 @@ def ic_pearson_by_day(df: DataFrame, pred: str = "pred", label: str = "label") -
 def ic_summary(by_day: DataFrame, column: str = "IC") -> DataFrame:
     """Mean and mean / sd of the defined days, and the number of undefined ones."""
     return by_day.agg(F.avg(column).alias("IC_mean"),
-                      ratio(F.avg(column), F.stddev_samp(column)).alias("ICIR"),
+                      ratio(F.avg(column), deviation(column)).alias("ICIR"),
                       F.count(column).alias("n_days"), F.count_if(F.col(column).isNull()).alias("n_undefined"))
 
 
@@ -104,7 +104,7 @@ def evaluation_summary(df: DataFrame, pred: str = "pred", label: str = "label",
                        label_class: str = "label_class") -> DataFrame:
     """One row: IC_mean, ICIR, IC_pearson, MAE, RMSE, Accuracy, F1_macro."""
     days = ic_by_day(df, pred, label).agg(
-        F.avg("IC").alias("IC_mean"), ratio(F.avg("IC"), F.stddev_samp("IC")).alias("ICIR"),
+        F.avg("IC").alias("IC_mean"), ratio(F.avg("IC"), deviation("IC")).alias("ICIR"),
         F.avg("IC_pearson").alias("IC_pearson"))
     error = F.col(pred) - F.col(label)
     errors = df.agg(F.struct(F.avg(F.abs(error)).alias("MAE"), F.sqrt(F.avg(error * error)).alias("RMSE"),

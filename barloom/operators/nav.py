@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.expr import guarded_intercept, guarded_slope, nan_to_zero, ratio
+from barloom.functions.expr import deviation, guarded_intercept, guarded_slope, nan_to_zero, ratio
 from barloom.operators.align import calendar_positions
 from barloom.operators.sizing import join_per_date
 from barloom.operators.xsection import top_k
@@ -48,7 +48,7 @@ def performance_metrics(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     n = F.count(r)
     stats = falls.groupBy(*keys).agg(
         (F.product(1 + r) - 1).alias("total_return"), n.alias("n_days"),
-        _spread_ratio(F.avg(r), F.stddev_samp(r)).alias("sharpe_ratio"), F.min("_fall").alias("max_drawdown"),
+        _spread_ratio(F.avg(r), deviation(r)).alias("sharpe_ratio"), F.min("_fall").alias("max_drawdown"),
         guarded_slope("portfolio_return", "benchmark_return").alias("beta"),
         (guarded_intercept("portfolio_return", "benchmark_return") * YEAR).alias("alpha_annualized"))
     yearly = F.pow(1 + F.col("total_return"), YEAR / F.col("n_days")) - 1
@@ -160,7 +160,7 @@ def nav_metrics(nav: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFram
         "_fall": ratio("nav", F.max("nav").over(runs.rowsBetween(Window.unboundedPreceding, 0))) - 1})
     stats = moved.groupBy(*keys).agg(
         (ratio(F.max_by("nav", "date"), F.min_by("nav", "date")) - 1).alias("total_return"),
-        F.count("nav").alias("n_days"), _spread_ratio(F.avg("_ret"), F.stddev_samp("_ret")).alias("sharpe_ratio"),
+        F.count("nav").alias("n_days"), _spread_ratio(F.avg("_ret"), deviation("_ret")).alias("sharpe_ratio"),
         F.min("_fall").alias("max_drawdown"))
     yearly = F.pow(1 + F.col("total_return"), YEAR / F.col("n_days")) - 1
     return stats.select(*keys, "total_return", yearly.alias("annualized_return"), "sharpe_ratio", "max_drawdown", "n_days")

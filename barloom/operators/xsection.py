@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.expr import inf_to_null, ratio
+from barloom.functions.expr import deviation, inf_to_null, ratio
 from barloom.operators.clean import mask_missing_price
 from barloom.operators.ranking import average_rank, descending_row_number, exact_median
 from barloom.operators.sizing import join_per_date
@@ -22,7 +22,7 @@ MAD_SCALE = 1.4826
 
 def _scaled(df: DataFrame, columns: Sequence[str], scale, small_dates: bool) -> DataFrame:
     stats = df.groupBy("date").agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
-                                   *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
+                                   *[deviation(c).alias(f"_s_{c}") for c in columns])
     joined = join_per_date(df, stats, small_dates=small_dates)
     made = {c: scale(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}
     return joined.withColumns(made).select(*df.columns)

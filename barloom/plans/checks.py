@@ -71,6 +71,8 @@ CTE["filled"] = ffill_limit("aligned_w", 5)
 CTE["filled_1"] = ffill_limit("aligned_w", 1)
 CTE["dense"] = sparse("filled")
 CTE["panel"] = ffill_bfill("dense")
+CTE["panel_m"] = ffill_bfill("aligned_m")
+CTE["numbered_m"] = f"select *, row_number() over ({WSYM}) as rn from panel_m"
 CTE["known"] = f"""
   select symbol, date, (lag(close, 1) over ({WSYM}) / lag(close, 6) over ({WSYM}) - 1) * 100 as score from panel"""
 CTE["scores"] = """
@@ -536,8 +538,8 @@ check("E22_feature_matrix_long", " union all ".join(
 _lags = {"close": "close", "open": "close", "high": "close", "low": "close", "vwap": "close", "volume": "volume"}
 check("E23_lag_ratio_factors", f"""
   select a.symbol, a.date, cast(g.lag as integer) as lag, {', '.join(r(f'b.{f} / nullif(a.{d}, 0)', f, 5) for f, d in _lags.items())}
-  from (select *, (high + low + close) / 3 as vwap from numbered) a cross join (select unnest(range(60)) as lag) g
-  left join (select *, (high + low + close) / 3 as vwap from numbered) b on b.symbol = a.symbol and b.rn = a.rn - g.lag""")
+  from (select *, (high + low + close) / 3 as vwap from numbered_m) a cross join (select unnest(range(60)) as lag) g
+  left join (select *, (high + low + close) / 3 as vwap from numbered_m) b on b.symbol = a.symbol and b.rn = a.rn - g.lag""")
 
 _D = "over (partition by date)"
 check("F1_cs_zscore", f"select symbol, date, " + ", ".join(
@@ -595,16 +597,17 @@ check("G8_temporal_codes", """
     select date, pos, ((42 + pos) % 252) // 21 as m from (
       select date, row_number() over (order by date) - 1 as pos from (select distinct date from bars_w)))""")
 _taps = "(0, -0.1294095226), (1, 0.2241438680), (2, 0.8365163037), (3, 0.4829629131)"
+_bank = f"""(select 'low' as part, j, w from (values {_taps}) t(j, w) union all
+    select 'high', 3 - j, case when j % 2 = 0 then w else -w end from (values {_taps}) t(j, w))"""
+_coef = f"(select part, k, 2 * k + 1 - j as i, w from {_bank} cross join (select unnest(range(11)) as k))"
 check("G9_wavelet_split", f"""
-  select split, symbol, cast(sample as integer) as sample, part, cast(i as integer) as i, {r('v', 'v')} from (
-    select split, symbol, sample, m.part, m.i, sum(s.v * m.w) as v from (select * from samples where i < 20) s join (
-      select a.part, a.i, b.i as j, sum(a.w * b.w) as w from coef a join coef b on a.part = b.part and a.k = b.k
-      group by 1, 2, 3) m on m.j = s.i group by 1, 2, 3, 4, 5)""".replace("from coef a join coef b", """
-      from (select part, k, 2 * k + 1 - j as i, w from bank, (select unnest(range(11)) as k)) a
-      join (select part, k, 2 * k + 1 - j as i, w from bank, (select unnest(range(11)) as k)) b""").replace(
-    "a.k = b.k", "a.k = b.k and a.i between 0 and 19 and b.i between 0 and 19").replace("from bank", f"""
-      from (select 'low' as part, j, w from (values {_taps}) t(j, w) union all
-            select 'high', 3 - j, case when j % 2 = 0 then w else -w end from (values {_taps}) t(j, w))"""))
+  select split, symbol, cast(sample as integer) as sample, cast(i as integer) as i, {r('low', 'low')}, {r('high', 'high')} from (
+    select split, symbol, sample, m.i, sum(s.v * m.low) as low, sum(s.v * m.high) as high
+    from (select * from samples where i < 20) s join (
+      select a.i, b.i as j, sum(case when a.part = 'low' then a.w * b.w else 0 end) as low,
+             sum(case when a.part = 'high' then a.w * b.w else 0 end) as high from {_coef} a join {_coef} b
+      on a.part = b.part and a.k = b.k and a.i between 0 and 19 and b.i between 0 and 19 group by 1, 2) m on m.j = s.i
+    group by 1, 2, 3, 4)""")
 check("G10_stack_features", f"""
   select symbol, date, 'f' as part, i, {r('v', 'v', 4)} from (
     select f.symbol, f.date, unnest([0, 1, 2, 3]) as i,

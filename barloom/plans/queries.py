@@ -35,6 +35,7 @@ def query(name: str, digits: int = 6):
                                 else F.col(c.name) for c in out.schema])
         run.__name__ = name
         run.__doc__ = f.__doc__
+        run.plain = f
         QUERIES[name] = run
         return f
     return wrap
@@ -363,7 +364,7 @@ def _(spark, sf):
 @query("E23_lag_ratio_factors", 5)
 def _(spark, sf):
     """Sixty lags of six fields, one row per lag."""
-    arrays = features.lag_ratio_factors(V.panel(spark, sf))
+    arrays = features.lag_ratio_factors(clean.ffill_bfill(V.aligned(spark, sf, "month")))
     fields = ["close", "open", "high", "low", "vwap", "volume"]
     rows = arrays.select("symbol", "date", F.posexplode(F.arrays_zip(*[f"{f}_lags" for f in fields])).alias("lag", "z"))
     return rows.select("symbol", "date", "lag", *[F.col(f"z.{f}_lags").alias(f) for f in fields])
@@ -485,7 +486,9 @@ def _(spark, sf):
 @query("G9_wavelet_split")
 def _(spark, sf):
     split = windows.wavelet_split(_windowed(spark, sf), "x_fwd_ret", 20)
-    return _cells(split, ["split", "symbol", "sample"], low="x_fwd_ret_low", high="x_fwd_ret_high")
+    parts = F.posexplode(F.arrays_zip(F.col("x_fwd_ret_low").alias("low"), F.col("x_fwd_ret_high").alias("high")))
+    return split.select("split", "symbol", "sample", parts.alias("i", "z")).select(
+        "split", "symbol", "sample", "i", "z.low", "z.high")
 
 
 @query("G10_stack_features", 4)
