@@ -19,12 +19,6 @@ def to_date() -> WindowSpec:
     return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def rolling(agg, x: Column | str, k: int) -> Column:
-    """Trailing aggregate over k rows, NULL until k values are present."""
-    frame = trailing(k)
-    return F.when(F.count(col(x)).over(frame) == k, agg(col(x)).over(frame))
-
-
 def lagged(x: Column | str, k: int = 1) -> Column:
     return F.lag(col(x), k).over(by_symbol())
 

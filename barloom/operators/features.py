@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.expr import ratio
-from barloom.functions.frames import by_symbol, forward_fill, lagged, rolling, to_date, trailing
+from barloom.functions.frames import forward_fill, lagged, to_date, trailing
 from barloom.operators.align import calendar_positions, common_dates
 from barloom.operators.clean import ffill_bfill
 from barloom.operators.ewm import Ewm, ewm, span_alpha
@@ -46,6 +46,32 @@ FEATURES = (
     + [f"DIST_SMA{w}" for w in DIST_WINDOWS] + ["DAILY_RET", f"VOL_norm_{VOL_NORM_WINDOW}", "HL_SPREAD", "CO_RET"])
 
 
+AGGREGATES = {"sum": F.sum, "sd": F.stddev_samp, "max": F.max, "min": F.min}
+HL = (("max", "high"), ("min", "low"))
+
+
+def _stat(agg: str, x: str, k: int) -> Column:
+    """Trailing statistic over k rows, made by ``_with_stats``."""
+    return F.col(f"_sum_{x}_{k}") / k if agg == "avg" else F.col(f"_{agg}_{x}_{k}")
+
+
+def _with_stats(df: DataFrame, wanted: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """Add the trailing statistics the table does not have yet, NULL until k values are present.
+
+    Presence is the difference of two running counts, so only the statistic itself walks its frame; families that
+    share a statistic (SMA and bands, channels and oscillators) find it there.
+    """
+    wanted = list(dict.fromkeys(("sum" if a == "avg" else a, x, k) for a, x, k in wanted))
+    missing = [(a, x, k) for a, x, k in wanted if f"_{a}_{x}_{k}" not in df.columns]
+    uncounted = [x for x in dict.fromkeys(x for _, x, _ in missing) if f"_n_{x}" not in df.columns]
+    df = df.withColumns({f"_n_{x}": F.count(x).over(to_date()) for x in uncounted}) if uncounted else df
+    full = {(x, k): f"_full_{x}_{k}" for _, x, k in missing}
+    df = df.withColumns({c: F.col(f"_n_{x}") - F.coalesce(lagged(f"_n_{x}", k), F.lit(0)) == k
+                         for (x, k), c in full.items() if c not in df.columns}) if full else df
+    return df.withColumns({f"_{a}_{x}_{k}": F.when(F.col(full[x, k]), AGGREGATES[a](x).over(trailing(k)))
+                           for a, x, k in missing}) if missing else df
+
+
 def roc(df: DataFrame, windows: Sequence[int] = ROC_WINDOWS) -> DataFrame:
     """Percent change over w rows of the forward-filled close."""
     df = df.withColumn("_filled", forward_fill("close"))
@@ -86,25 +112,38 @@ def macd(df: DataFrame, spans: tuple[int, int, int] = MACD_SPANS) -> DataFrame:
     return out.withColumn("MACD_hist", F.col("MACD") - F.col("MACD_signal"))
 
 
+def _bollinger_stats(windows):
+    return [(a, "close", w) for w in windows for a in ("avg", "sd")]
+
+
 def bollinger(df: DataFrame, windows: Sequence[int] = BB_WINDOWS, width: float = 2.0) -> DataFrame:
-    df = df.withColumns({**{f"_mid{w}": rolling(F.avg, "close", w) for w in windows},
-                         **{f"_dev{w}": rolling(F.stddev_samp, "close", w) for w in windows}})
-    df = df.withColumns({f"BB_{p}_{w}": F.col(f"_mid{w}") + s * width * F.col(f"_dev{w}")
-                         for w in windows for p, s in (("upper", 1), ("lower", -1))})
-    df = df.withColumns({f"BB_width_{w}": F.col(f"BB_upper_{w}") - F.col(f"BB_lower_{w}") for w in windows})
-    return df.drop(*[f"_mid{w}" for w in windows], *[f"_dev{w}" for w in windows])
+    made = {}
+    for w in windows:
+        mid, reach = _stat("avg", "close", w), width * _stat("sd", "close", w)
+        made |= {f"BB_upper_{w}": mid + reach, f"BB_lower_{w}": mid - reach, f"BB_width_{w}": (mid + reach) - (mid - reach)}
+    return _added(df, _with_stats(df, _bollinger_stats(windows)), made)
+
+
+def _added(df: DataFrame, worked: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """The columns of ``df`` and the made ones; helper columns already in ``df`` stay for the next family."""
+    return worked.select(*df.columns, *[c.alias(n) for n, c in made.items()])
 
 
 def volume_ratio(df: DataFrame, windows: Sequence[int] = VOL_WINDOWS) -> DataFrame:
-    return df.withColumns({f"VOL_ratio_{w}": ratio("volume", rolling(F.avg, "volume", w)) for w in windows})
+    return _added(df, _with_stats(df, [("avg", "volume", w) for w in windows]),
+                  {f"VOL_ratio_{w}": ratio("volume", _stat("avg", "volume", w)) for w in windows})
+
+
+def _true_range(df: DataFrame) -> DataFrame:
+    before = lagged("close")
+    return df.withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before),
+                                              F.abs(F.col("low") - before)))
 
 
 def atr(df: DataFrame, windows: Sequence[int] = ATR_WINDOWS) -> DataFrame:
     """Mean true range; missing parts of the range are skipped."""
-    before = lagged("close")
-    df = df.withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before),
-                                            F.abs(F.col("low") - before)))
-    return df.withColumns({f"ATR_{w}": rolling(F.avg, "_range", w) for w in windows}).drop("_range")
+    worked = _with_stats(_true_range(df), [("avg", "_range", w) for w in windows])
+    return _added(df, worked, {f"ATR_{w}": _stat("avg", "_range", w) for w in windows})
 
 
 def obv(df: DataFrame) -> DataFrame:
@@ -114,48 +153,43 @@ def obv(df: DataFrame) -> DataFrame:
     return df.withColumn("OBV", F.when(F.col("_signed").isNotNull(), F.sum("_signed").over(to_date()))).drop("_signed")
 
 
-def _span(w: int) -> tuple[Column, Column]:
-    return rolling(F.max, "high", w), rolling(F.min, "low", w)
-
-
 def stochastic(df: DataFrame, windows: Sequence[int] = STOCH_WINDOWS, smooth: int = 3) -> DataFrame:
+    worked = _with_stats(df, [(a, x, w) for w in windows for a, x in HL])
+    worked = worked.withColumns({f"STOCH_K_{w}": 100 * ratio(
+        F.col("close") - _stat("min", "low", w), _stat("max", "high", w) - _stat("min", "low", w)) for w in windows})
+    worked = _with_stats(worked, [("avg", f"STOCH_K_{w}", smooth) for w in windows])
     made = {}
     for w in windows:
-        high, low = _span(w)
-        made[f"STOCH_K_{w}"] = 100 * ratio(F.col("close") - low, high - low)
-    df = df.withColumns(made)
-    return df.withColumns({f"STOCH_D_{w}": rolling(F.avg, f"STOCH_K_{w}", smooth) for w in windows})
+        made |= {f"STOCH_K_{w}": F.col(f"STOCH_K_{w}"), f"STOCH_D_{w}": _stat("avg", f"STOCH_K_{w}", smooth)}
+    return _added(df, worked, made)
 
 
 def williams(df: DataFrame, windows: Sequence[int] = WILLR_WINDOWS) -> DataFrame:
-    made = {}
-    for w in windows:
-        high, low = _span(w)
-        made[f"WILLR_{w}"] = -100 * ratio(high - F.col("close"), high - low)
-    return df.withColumns(made)
+    worked = _with_stats(df, [(a, x, w) for w in windows for a, x in HL])
+    return _added(df, worked, {f"WILLR_{w}": -100 * ratio(
+        _stat("max", "high", w) - F.col("close"), _stat("max", "high", w) - _stat("min", "low", w)) for w in windows})
 
 
 def cci(df: DataFrame, windows: Sequence[int] = CCI_WINDOWS) -> DataFrame:
     """Distance of the typical price from its mean in mean absolute deviations of that window."""
-    df = df.withColumn("_typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    df = df.withColumns({**{f"_past{i}": lagged("_typical", i) for i in range(max(windows))},
-                         **{f"_mean{w}": rolling(F.avg, "_typical", w) for w in windows}})
+    worked = df.withColumn("_typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    worked = worked.withColumns({f"_past{i}": lagged("_typical", i) for i in range(max(windows))})
+    worked = _with_stats(worked, [("avg", "_typical", w) for w in windows])
     made = {}
     for w in windows:
-        spread = reduce(lambda a, b: a + b, [F.abs(F.col(f"_past{i}") - F.col(f"_mean{w}")) for i in range(w)]) / w
-        made[f"CCI_{w}"] = (F.col("_typical") - F.col(f"_mean{w}")) / (0.015 * F.greatest(spread, F.lit(FLAT)))
-    for w in windows:
-        made[f"CCI_{w}"] = F.when(F.col(f"_mean{w}").isNotNull(), made[f"CCI_{w}"])
-    return df.withColumns(made).drop("_typical", *[f"_past{i}" for i in range(max(windows))],
-                                     *[f"_mean{w}" for w in windows])
+        mean = _stat("avg", "_typical", w)
+        spread = reduce(lambda a, b: a + b, [F.abs(F.col(f"_past{i}") - mean) for i in range(w)]) / w
+        made[f"CCI_{w}"] = F.when(mean.isNotNull(), (F.col("_typical") - mean)
+                                  / (0.015 * F.greatest(spread, F.lit(FLAT))))
+    return _added(df, worked, made)
 
 
 def donchian(df: DataFrame, windows: Sequence[int] = DC_WINDOWS) -> DataFrame:
     made = {}
     for w in windows:
-        high, low = _span(w)
+        high, low = _stat("max", "high", w), _stat("min", "low", w)
         made |= {f"DC_upper_{w}": high, f"DC_lower_{w}": low, f"DC_width_{w}": high - low}
-    return df.withColumns(made)
+    return _added(df, _with_stats(df, [(a, x, w) for w in windows for a, x in HL]), made)
 
 
 def momentum(df: DataFrame, windows: Sequence[int] = MOM_WINDOWS) -> DataFrame:
@@ -163,15 +197,13 @@ def momentum(df: DataFrame, windows: Sequence[int] = MOM_WINDOWS) -> DataFrame:
 
 
 def sma(df: DataFrame, windows: Sequence[int] = SMA_WINDOWS) -> DataFrame:
-    return df.withColumns({f"SMA_{w}": rolling(F.avg, "close", w) for w in windows})
+    return _added(df, _with_stats(df, [("avg", "close", w) for w in windows]),
+                  {f"SMA_{w}": _stat("avg", "close", w) for w in windows})
 
 
 def sma_distance(df: DataFrame, windows: Sequence[int] = DIST_WINDOWS) -> DataFrame:
-    made = {}
-    for w in windows:
-        mean = rolling(F.avg, "close", w)
-        made[f"DIST_SMA{w}"] = ratio(F.col("close") - mean, mean)
-    return df.withColumns(made)
+    made = {f"DIST_SMA{w}": ratio(F.col("close") - _stat("avg", "close", w), _stat("avg", "close", w)) for w in windows}
+    return _added(df, _with_stats(df, [("avg", "close", w) for w in windows]), made)
 
 
 def daily_return(df: DataFrame) -> DataFrame:
@@ -179,7 +211,8 @@ def daily_return(df: DataFrame) -> DataFrame:
 
 
 def volume_norm(df: DataFrame, window: int = VOL_NORM_WINDOW) -> DataFrame:
-    return df.withColumn(f"VOL_norm_{window}", ratio("volume", rolling(F.avg, "volume", window)))
+    return _added(df, _with_stats(df, [("avg", "volume", window)]),
+                  {f"VOL_norm_{window}": ratio("volume", _stat("avg", "volume", window))})
 
 
 def high_low_spread(df: DataFrame) -> DataFrame:
@@ -199,6 +232,9 @@ def compute_features(bars: DataFrame) -> DataFrame:
                    *[_rsi(w).alias(f"RSI_{w}") for w in RSI_WINDOWS])
     df = ewm(df, Ewm("MACD_signal", "MACD", span_alpha(signal)))
     df = df.withColumn("MACD_hist", F.col("MACD") - F.col("MACD_signal"))
+    df = _with_stats(df, [*_bollinger_stats(BB_WINDOWS), *[("avg", "close", w) for w in SMA_WINDOWS],
+                          *[("avg", "volume", w) for w in (*VOL_WINDOWS, VOL_NORM_WINDOW)],
+                          *[(a, x, w) for w in sorted({*STOCH_WINDOWS, *WILLR_WINDOWS, *DC_WINDOWS}) for a, x in HL]])
     for family in (roc, bollinger, volume_ratio, atr, obv, stochastic, williams, cci, donchian, momentum, sma,
                    sma_distance, daily_return, volume_norm, high_low_spread, close_open_return):
         df = family(df)
