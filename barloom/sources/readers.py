@@ -19,9 +19,14 @@ def read_bars(spark: SparkSession, path: str, date: str = "Date") -> DataFrame:
 
     Large panels should be rewritten once with ``write_panel``: a hundred thousand small files list slowly.
     """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # dataframe libraries store nanosecond dates
     raw = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    date = date if date in raw.columns else "__index_level_0__"
+    day = F.col(date)
+    if raw.schema[date].dataType.typeName() == "long":
+        day = F.timestamp_seconds(F.floor(day / F.lit(1_000_000_000)))
     symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
-    return raw.select(symbol.alias("symbol"), F.col(date).cast("date").alias("date"), *[
+    return raw.select(symbol.alias("symbol"), day.cast("date").alias("date"), *[
         null_if_nan(F.col(c).cast("double")).alias(c.lower()) for c in ("Open", "High", "Low", "Close", "Volume")])
 
 
