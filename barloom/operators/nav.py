@@ -13,6 +13,7 @@ from barloom.functions.expr import deviation, guarded_intercept, guarded_slope,
 from barloom.operators.align import calendar_positions
 from barloom.operators.sizing import join_per_date
 from barloom.operators.xsection import top_k
+from barloom.session import cut_lineage
 
 YEAR = 252
 
@@ -87,7 +88,8 @@ def period_backtest(weights: DataFrame, prices: DataFrame, fee: float = 0.002, s
     their period by calendar position: all joins are equi-joins.
     """
     s = strategy
-    pos = calendar_positions(prices)
+    weights = cut_lineage(weights.select(s, "date", "symbol", "weight"))  # read five times below
+    pos = cut_lineage(calendar_positions(prices))
     final = pos.agg(F.max("pos")).scalar()
     rebalances = join_per_date(weights.select(s, "date").distinct(), pos, small_dates=small_dates)
     order = Window.partitionBy(s).orderBy("pos")

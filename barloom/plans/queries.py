@@ -526,6 +526,14 @@ def _(spark, sf):
     return graph.normalised_laplacian(*_links(spark, sf))
 
 
+@query("H5_spectral_vectors", 4)
+def _(spark, sf):
+    """Four leading eigenpairs; the sign of a vector is free, so squares are shown."""
+    pairs = graph.spectral_vectors(graph.normalised_laplacian(*_links(spark, sf)), 4, rounds=12)
+    return pairs.select("symbol", F.posexplode(F.zip_with("vector", "values", lambda v, x: F.struct(
+        (v * v).alias("square"), x.alias("value")))).alias("rank", "z")).select("symbol", "rank", "z.square", "z.value")
+
+
 # Logit cells.
 
 @query("I1_parse_logits")

@@ -114,9 +114,9 @@ def read_sectioned_ohlc(spark: SparkSession, path: str, encoding: str = "GBK") -
     heading = F.col(names[0]).isin(*SECTIONS)
     heads = raw.where(heading).agg(F.sort_array(F.collect_list(F.struct("pos", F.col(names[0]).alias("name"))))).scalar()
     n_rows = raw.agg(F.max("pos") + 1).scalar()
-    before = F.filter(heads, lambda h: h["pos"] <= F.col("pos"))
-    after = F.filter(heads, lambda h: h["pos"] > F.col("pos"))
-    rows = (raw.withColumns({"_head": F.try_element_at(before, F.lit(-1)),
+    before = F.filter("_heads", lambda h: h["pos"] <= F.col("pos"))
+    after = F.filter("_heads", lambda h: h["pos"] > F.col("pos"))
+    rows = (raw.withColumn("_heads", heads).withColumns({"_head": F.try_element_at(before, F.lit(-1)),
                              "_end": F.coalesce(F.try_element_at(after, F.lit(1))["pos"], n_rows)})
             .where(F.col("_head").isNotNull() & (F.col("pos") < F.col("_end") - SECTION_TAIL)))
     field = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])[F.col("_head.name")]

@@ -52,6 +52,27 @@ def test_correlations(spark, block):
     assert counts == [sum(abs(want[i, j]) > t for i in range(4) for j in range(i + 1, 4)) for t in (0.0, 0.5, 0.999)]
 
 
+def test_spectral_vectors(spark):
+    rng = np.random.default_rng(2)
+    w = np.triu(np.abs(rng.normal(size=(8, 8))), 1)
+    nodes = spark.createDataFrame([(i,) for i in range(8)], "symbol bigint")
+    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(8) for j in range(i + 1, 8)],
+                                  "src bigint, dst bigint, weight double")
+    lap = graph.normalised_laplacian(edges, nodes)
+    full = w + w.T
+    d = 1 / np.sqrt(full.sum(0))
+    want = np.eye(8) - d[:, None] * full * d[None, :]
+    dense = np.zeros((8, 8))
+    for r in lap.collect():
+        dense[r.src, r.dst] = r.value
+    assert np.abs(dense - want).max() < 1e-12
+    out = graph.spectral_vectors(lap, 3, rounds=12).orderBy("symbol").collect()
+    v, x = np.array([r.vector for r in out]), np.array(out[0]["values"])
+    ref = np.linalg.eigvalsh(want)
+    assert np.abs(v.T @ v - np.eye(3)).max() < 1e-8
+    assert abs(x[0] - ref[np.argmax(np.abs(ref))]) < 0.02, (x, ref)
+
+
 def test_score_windows_modes(spark):
     df = spark.createDataFrame([(i % 3, float(i)) for i in range(9)], "sample int, x double")
     plain = scoring.score_windows(df, lambda f: f.assign(x=f.x * 2), "sample int, x double")
