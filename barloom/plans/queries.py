@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from barloom.functions import logits as L
-from barloom.operators import (align, clean, evaluate, features, graph, nav, portfolio, reports, scoring, sizing, targets,
+from barloom.operators import (align, clean, embedding, evaluate, features, graph, nav, portfolio, reports, scoring, sizing, targets,
                                windows, xsection)
 from barloom.plans import pipeline, views as V
 from barloom.sources import readers, writers
@@ -534,6 +534,15 @@ def _(spark, sf):
         (v * v).alias("square"), x.alias("value")))).alias("rank", "z")).select("symbol", "rank", "z.square", "z.value")
 
 
+@query("H6_structural_embedding", 4)
+def _(spark, sf):
+    """Short walks and small vectors; one row per symbol with the length of its vector."""
+    edges, nodes = _links(spark, sf)
+    out = embedding.structural_embedding(edges, nodes, dims=16, walks=4, length=10)
+    return out.select("symbol", F.size("embedding").alias("dims"),
+                      F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("length"))
+
+
 # Logit cells.
 
 @query("I1_parse_logits")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from barloom.operators import align, graph, scoring, targets, windows
+from barloom.operators import align, embedding, graph, scoring, targets, windows
 from barloom.sources import readers, writers
 from tests.conftest import days
 
@@ -73,6 +73,16 @@ def test_spectral_vectors(spark):
     assert abs(x[0] - ref[np.argmax(np.abs(ref))]) < 0.02, (x, ref)
 
 
+def test_structural_embedding(spark):
+    ring = [(i, (i + 1) % 12, 1.0) for i in range(12)]
+    edges = spark.createDataFrame(ring + [(20, 21 + i, 1.0) for i in range(5)], "src bigint, dst bigint, weight double")
+    nodes = spark.createDataFrame([(i,) for i in [*range(12), *range(20, 26), 99]], "symbol bigint")
+    out = {r.symbol: np.array(r.embedding) for r in embedding.structural_embedding(
+        edges, nodes, dims=8, walks=3, length=6).collect()}
+    assert len(out) == 19 and all(len(v) == 8 for v in out.values())
+    assert not out[99].any() and all(out[i].any() for i in out if i != 99)
+
+
 def test_score_windows_modes(spark):
     df = spark.createDataFrame([(i % 3, float(i)) for i in range(9)], "sample int, x double")
     plain = scoring.score_windows(df, lambda f: f.assign(x=f.x * 2), "sample int, x double")
