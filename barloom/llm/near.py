@@ -13,8 +13,10 @@ fewer words: the whole sequence as one shingle; no words: empty, linked with not
    grown to components, and only buckets which then still hold several components go on: first each class against the
    leaders of other components, then everything outside a bucket's largest component against the bucket. The last step
    leaves no pair of different components in a common bucket uncompared.
-4. Each comparison first estimates the similarity from the sketches in the JVM (population count of the XOR) and drops
-   pairs estimated below 0.5, six standard deviations under the threshold; the rest is decided on the full sets.
+4. Each comparison first looks at the sketches in the JVM. A pair estimated below 0.5, six standard deviations under the
+   threshold, is dropped. A second odd sketch folds the whole set: its XOR has at most as many bits as the sets have
+   shingles that only one of them holds, so a count above a seventh of both sizes proves a similarity under 0.75 (no loss).
+   The rest is decided on the full sets.
 
 Two different sets meet in a class name with a chance of 2^-64 per pair. Rows repeating a doc_id are treated as rows of one
 document each; a null doc_id takes part, but never names a component (a component without any id has component_id null, and
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barloom.llm.common import cut_lineage, grow_components
 
@@ -90,6 +92,12 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set; the bits of an XOR never outnumber the symmetric difference."""
+    bits = np.bincount((values % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(low: np.ndarray) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in low.reshape(BANDS, ROWS).T:
@@ -113,7 +121,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = minima(values)
                 nodes.append(name_of(values))
                 keys.append(band_keys(low))
-                sketches.append(odd_sketch(low))
+                sketches.append(np.concatenate((odd_sketch(low), parity(values))))
             else:
                 nodes.append(None)
                 keys.append(None)
@@ -165,14 +173,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return one.join(wanted, "node", "left_semi").mapInArrow(_unpacked_sets, "node long, members binary")
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass the sketch and are linked on the full sets."""
-    a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64)), F.lit(0))
-    close = pairs.join(a, "a").join(b, "b").filter(apart <= bits_apart(0.5)).select("a", "b")
+def promising(a: str, b: str) -> Column:
+    """Whether the sketches (columns ``sketch_<side>``, sizes ``n_<side>``) leave a link possible."""
+    half = BITS // 64
+    bits = lambda lo: sum((F.bit_count(F.col(f"sketch_{a}")[i].bitwiseXOR(F.col(f"sketch_{b}")[i])) for i in range(lo, lo + half)), F.lit(0))
+    sizes = F.col(f"n_{a}") + F.col(f"n_{b}")
+    return (7 * bits(half) <= sizes) & (bits(0) <= bits_apart(0.5))
+
+
+def sketched(rows: DataFrame, sketches: DataFrame, side: str) -> DataFrame:
+    """Rows with the sketch and size of the class in column ``side``."""
+    return rows.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked on the full sets."""
     x, y = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return close.join(x, "a").join(y, "b").mapInArrow(_linked, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(_linked, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -183,19 +200,19 @@ def near_components(docs: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
     members = cut_lineage(keyed.join(cut_lineage(shared), "key"))
     wanted = cut_lineage(members.select("node").distinct())
-    sketches = cut_lineage(classes.select("node", "sketch").join(wanted, "node", "left_semi"))
+    sketches = cut_lineage(classes.select("node", "sketch", "n_shingles").join(wanted, "node", "left_semi"))
     sets = cut_lineage(full_sets(docs, wanted))
 
     first = members.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b")).filter("a <> b")
-    links = cut_lineage(confirm(first, sketches, sets))
+    links = cut_lineage(confirm(_promising_pairs(first, sketches), sets))
     found = cut_lineage(grow_components(wanted, links))
 
     for all_pairs in (False, True):
         mixed = _mixed_buckets(members, found)
         if mixed.isEmpty():
             break
-        pairs = _remaining_pairs(mixed) if all_pairs else _leader_pairs(mixed)
-        links = cut_lineage(links.union(confirm(pairs, sketches, sets)))
+        pairs = _remaining_pairs(mixed, sketches) if all_pairs else _promising_pairs(_leader_pairs(mixed), sketches)
+        links = cut_lineage(links.union(confirm(cut_lineage(pairs), sets)))
         found = cut_lineage(grow_components(wanted, links))
 
     named = rows.select("doc_id", "node", "n_shingles").join(found, "node", "left").withColumn(
@@ -223,15 +240,22 @@ def _leader_pairs(mixed: DataFrame) -> DataFrame:
             .select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct())
 
 
-def _remaining_pairs(mixed: DataFrame) -> DataFrame:
-    """All pairs of different components in a bucket. The bucket's largest component is only the other side of a pair,
-    never both, so a large component costs its size times the few classes outside it."""
+def _promising_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    return sketched(sketched(pairs, sketches, "a"), sketches, "b").filter(promising("a", "b")).select("a", "b")
+
+
+def _remaining_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The promising pairs of different components in a bucket. The bucket's largest component is only the other side of a
+    pair, never both, so a large component costs its size times the few classes outside it. The sketches travel with the members and
+    are compared inside the join: pairs they rule out are never rows."""
     sizes = mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     rows = mixed.select("key", "node", "component").join(cut_lineage(largest), "key")
     few = rows.filter("component <> main").select("key", F.col("node").alias("p"), F.col("component").alias("pc"))
     many = rows.select("key", F.col("node").alias("q"), F.col("component").alias("qc"), "main")
-    return (few.join(many, "key").filter("pc <> qc and (qc = main or p < q)")
+    few, many = cut_lineage(sketched(few, sketches, "p")), cut_lineage(sketched(many, sketches, "q"))
+    other = (F.col("pc") != F.col("qc")) & ((F.col("qc") == F.col("main")) | (F.col("p") < F.col("q")))
+    return (few.join(many.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other & promising("p", "q"))
             .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
 
 

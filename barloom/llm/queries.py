@@ -5,10 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import near, packing, personal, quality, suffixes
+from barloom.llm import near, packing, pages, personal, quality, suffixes, tokens, vectors
 from barloom.llm.common import cut_lineage, table
 
 
+def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf, "pages"))
+
+
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counted = tokens.prefix_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.within_budget(counted, 512)
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf, "documents"))
 
@@ -17,6 +26,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,4 +46,4 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(counted, quality.cutoffs(counted, table(spark, sf, "labels"))).select(*names, "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array_dedup, op5_minhash_near_dedup, op7_best_fit_packing, op8_pii, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_best_fit_packing, op8_pii, op9_quality_rules)}
