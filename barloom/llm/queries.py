@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import near, packing, pages, personal, quality, suffixes, tokens, vectors
+from barloom.llm import findings, near, packing, pages, personal, quality, segments, suffixes, tokens, vectors
 from barloom.llm.common import cut_lineage, table
 
 
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.segmentation_figures(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf, "pages"))
 
@@ -46,4 +50,11 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(counted, quality.cutoffs(counted, table(spark, sf, "labels"))).select(*names, "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_best_fit_packing, op8_pii, op9_quality_rules)}
+def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables hold no labelled findings: the forest learns from findings whose form proves what they are."""
+    return findings.secret_scan(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_html_extraction, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_embedding_near_dedup,
+    op7_best_fit_packing, op8_pii, op9_quality_rules, op10_secret_scans)}

@@ -58,7 +58,7 @@ class Pieces:
                     else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.byte_id = {int(pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.longest = max(len(pieces[i]) for i in plain)
-        self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in range(1, self.longest + 1):
             some = [i for i in plain if len(pieces[i]) == length]
             points = np.frombuffer("".join(pieces[i] for i in some).encode("utf-32-le"), "<u4").reshape(-1, length)
@@ -66,16 +66,24 @@ class Pieces:
             for c in points.T:
                 h = (h + c + np.uint64(1)) * STEP
             order = np.argsort(h)
-            self.hashes[length] = h[order], np.array(some, np.int64)[order]
+            maybe = np.zeros(1 << 20, bool)
+            maybe[(h >> np.uint64(44)).astype(np.int64)] = True
+            self.hashes[length] = h[order], np.array(some, np.int64)[order], maybe
         known = sorted({c for i in plain for c in pieces[i]} - {SPACE})
         inner = "".join(map(re.escape, known))
         self.units = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|.", re.S)
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edge labels; a label under 0 is a character without a piece."""
-        if not len(edges) or edges.min() >= 0:
+        lost = np.flatnonzero(edges < 0)
+        if not len(lost):
             return edges
-        return np.array([i for e in edges.tolist() for i in ([e] if e >= 0 else [self.byte_id[b] for b in chr(-1 - e).encode("utf-8", "surrogatepass")])])
+        spelled = [[self.byte_id[b] for b in chr(-1 - e).encode("utf-8", "surrogatepass")] for e in edges[lost].tolist()]
+        sizes = np.ones(len(edges), np.int64)
+        sizes[lost] = [len(x) for x in spelled]
+        out = np.repeat(edges, sizes)
+        out[np.repeat(edges < 0, sizes)] = [i for x in spelled for i in x]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "surrogatepass")
@@ -110,7 +118,9 @@ class Lattice:
             at = np.flatnonzero(left[:len(h)] >= length)
             if not len(at):
                 break
-            table, ids = model.hashes[length]
+            table, ids, maybe = model.hashes[length]
+            if length > 1:
+                at = at[maybe[(h[at] >> np.uint64(44)).astype(np.int64)]]
             if len(table):
                 k = np.searchsorted(table, h[at])
                 k[k == len(table)] = 0
@@ -153,21 +163,26 @@ class Lattice:
     def draw(self, units: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each unit by ancestral sampling from its end: edges of all units in text order, edges per unit and
         log probability per unit. ``key`` seeds each unit's draws."""
+        order = np.argsort(units, kind="stable")  # equal units together: their edges stay in the cache
+        units, key = units[order], key[order]
         at, todo, step = self.last[units], np.arange(len(units)), 1
         taken, counts, log_p = [], np.zeros(len(units), np.int64), np.zeros(len(units))
         while len(todo):
             u = (finish(key[todo] + np.uint64(step * int(STEP) % 2 ** 64)) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
             edge = np.searchsorted(self.steps, at[todo] + u * (1 - 1e-9), side="right")
-            taken.append((todo, counts[todo].copy(), edge))
+            taken.append((todo, counts[todo], edge))
             counts[todo] += 1
             log_p[todo] += self.log_share[edge]
             at[todo] = self.start[edge]
             todo = todo[at[todo] > self.first[units[todo]]]
             step += 1
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        counts, log_p = counts[back], log_p[back]
         ends = np.cumsum(counts)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        out, ends_of = np.empty(int(ends[-1]) if len(ends) else 0, np.int64), ends[order]
         for who, number, edge in taken:
-            out[ends[who] - 1 - number] = edge
+            out[ends_of[who] - 1 - number] = edge
         return out, counts, log_p
 
     def draw_other(self, unit: int, excluded: list[tuple[int, ...]], noise: Callable[[int], float]) -> tuple[int, ...]:

@@ -29,8 +29,9 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHIT
 CHUNK = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 SPACE = regex.compile(rf"[{WHITE}]*")
 SHORT = 48
-WORDS = 300_000
-STATES = 600_000
+#: entries a task keeps at most: words met, prefix states, pairs of tokens
+WORDS = 800_000
+STATES = 400_000
 _counters: dict[str, "PrefixCounter"] = {}
 
 
@@ -72,64 +73,72 @@ class PrefixCounter:
 
     def inside(self, letters: str) -> list[int]:
         """Counts of the prefixes of length 1, 2, ... of one pre-token given as byte letters."""
-        vocabulary, fits, n = self.vocabulary, self.fits, len(letters)
+        vocabulary, fit, fits, n, longest = self.vocabulary, self.fit, self.fits, len(letters), self.longest
+        states, lasts, counts, end = self.states, [""], [0], 0
         if n <= SHORT:
-            states, out = self.states, []
-            for end in range(1, n + 1):
-                prefix = letters[:end]
-                state = states.get(prefix)
-                if state is None:
-                    for start in range(max(0, end - self.longest), end):
-                        token = prefix[start:]
-                        if token in vocabulary:
-                            last, count = states[prefix[:start]]
-                            if fits(last, token):
-                                state = states[prefix] = (token, count + 1)
-                                break
-                out.append(state[1])
-            return out
-        lasts, counts = [""], [0]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            while end < n and (state := states.get(letters[:end + 1])) is not None:
+                lasts.append(state[0])
+                counts.append(state[1])
+                end += 1
+        store = n <= SHORT and len(states) < STATES
+        while end < n:
+            end += 1
+            for start in range(max(0, end - longest), end):
                 token = letters[start:end]
-                if token in vocabulary and fits(lasts[start], token):
-                    lasts.append(token)
-                    counts.append(counts[start] + 1)
-                    break
-        return counts[1:]
-
-    def spelled(self, text: str) -> tuple[str, list[int]]:
-        """Byte letters of a text, and the number of letters up to each code point."""
-        parts, ends, at = [], [], 0
-        for c in text:
-            letters = self.letters.get(c) or "".join(self.table[b] for b in c.encode("utf-8", "surrogatepass"))
-            parts.append(letters)
-            at += len(letters)
+                if token in vocabulary:
+                    known = fit.get((lasts[start], token))
+                    if known or known is None and fits(lasts[start], token):
+                        lasts.append(token)
+                        counts.append(counts[start] + 1)
+                        break
+            if store:
+                states[letters[:end]] = (token, counts[end])
+        del counts[0]
+        return counts
+
+    def spelled(self, text: str) -> tuple[str, list[int] | None]:
+        """Byte letters of a text, and the number of letters up to each code point (None: one each)."""
+        if text.isascii():
+            if text.isprintable():
+                return text.replace(" ", self.table[32]), None
+            return "".join([self.table[ord(c)] for c in text]), None
+        known = self.letters
+        parts = [known.get(c) or self._letters(c) for c in text]
+        at, ends = 0, []
+        for p in parts:
+            at += len(p)
             ends.append(at)
         return "".join(parts), ends
 
-    def chunk(self, text: str) -> list[int]:
-        """Counts of the prefixes of white space followed by other characters."""
-        out: list[int] = []
-        blank = SPACE.match(text).end()
-        if blank:  # a prefix that ends in the white space has it as one pre-token
-            letters, ends = self.spelled(text[:blank])
-            counts = self.inside(letters)
-            out += [counts[e - 1] for e in ends]
-            if blank == len(text):
-                return out
-        base = 0
-        for m in PIECE.finditer(text):
-            piece = m.group()
-            letters, ends = self.spelled(piece)
-            counts = self.inside(letters)
-            if m.end() > blank:
-                own = [base + counts[e - 1] for e in ends]
-                if piece[0] == "'" and len(piece) == 3 and piece[1:].isalpha():  # cut short, 're is a mark and a letter
-                    own[1] = base + counts[0] + self.inside(letters[1:2])[0]
-                out += own[max(0, blank - m.start()):]
-            base += counts[-1]
-        return out
+    def _letters(self, c: str) -> str:
+        got = self.letters[c] = "".join(self.table[b] for b in c.encode("utf-8", "surrogatepass"))
+        return got
+
+    def counts(self, text: str) -> list[int]:
+        letters, ends = self.spelled(text)
+        counts = self.inside(letters)
+        return counts if ends is None else [counts[e - 1] for e in ends]
+
+    def chunk(self, text: str) -> bytes:
+        """Changes of the count inside white space followed by other characters."""
+        if text.isalpha() or text[0] == " " and text[1:].isalpha():  # one pre-token
+            out = self.counts(text)
+        else:
+            out = []
+            blank = SPACE.match(text).end()
+            if blank:  # a prefix that ends in the white space has it as one pre-token
+                out += self.counts(text[:blank])
+            base = 0
+            for m in PIECE.finditer(text) if blank < len(text) else ():
+                piece = m.group()
+                counts = self.counts(piece)
+                if m.end() > blank:
+                    own = [base + c for c in counts]
+                    if len(piece) == 3 and piece[0] == "'" and piece[1:].isalpha():  # cut short, 're is a mark and a letter
+                        own[1] = base + counts[0] + self.counts(piece[1])[0]
+                    out += own[max(0, blank - m.start()):]
+                base += counts[-1]
+        return bytes([(b - a) & 255 for a, b in zip([0, *out], out)])
 
     def changes(self, text: str) -> bytes:
         """Change of the token count with each code point, as signed bytes."""
@@ -148,15 +157,9 @@ class PrefixCounter:
         for piece in CHUNK.findall(text):
             known = words.get(piece)
             if known is None:
-                counts = np.array(self.chunk(piece))
-                known = np.diff(counts, prepend=0).astype(np.int8).tobytes()
-                if len(piece) <= SHORT:
-                    if len(words) > WORDS:
-                        words.clear()
+                known = self.chunk(piece)
+                if len(piece) <= SHORT and len(words) < WORDS:
                     words[piece] = known
-                if len(self.states) > STATES:
-                    self.states.clear()
-                    self.states[""] = ("", 0)
             parts.append(known)
         return b"".join(parts)
 
