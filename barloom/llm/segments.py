@@ -38,6 +38,7 @@ THETA = 0.5
 UNKNOWN = -12.0
 BATCH_CHARS = 4_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
+MASK = (1 << 64) - 1
 _models: dict[str, "Pieces"] = {}
 
 
@@ -86,7 +87,7 @@ class Pieces:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -140,7 +141,7 @@ class Lattice:
             weights.append(theta * weight)
             places.append(place[found] + length)
         start, end, label, weight, place = map(np.concatenate, (starts, ends, labels, weights, places))
-        order = np.lexsort((start, end, place))
+        order = np.argsort((place << 32) + end)
         start, end, label, weight, place = (x[order] for x in (start, end, label, weight, place))
         alpha = np.zeros(n + len(units))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
@@ -151,7 +152,7 @@ class Lattice:
             sizes = np.diff(np.concatenate((group, [hi - lo])))
             alpha[end[lo:hi][group]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes)), group))
         self.log_share = alpha[start] + weight - alpha[end]
-        order = np.argsort(end, kind="stable")
+        order = np.argsort(end)
         self.start, self.end, self.label, self.log_share = (x[order] for x in (start, end, label, self.log_share))
         total = np.cumsum(np.exp(self.log_share))
         group = np.concatenate(([0], np.flatnonzero(np.diff(self.end)) + 1))
@@ -163,7 +164,7 @@ class Lattice:
     def draw(self, units: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each unit by ancestral sampling from its end: edges of all units in text order, edges per unit and
         log probability per unit. ``key`` seeds each unit's draws."""
-        order = np.argsort(units, kind="stable")  # equal units together: their edges stay in the cache
+        order = np.argsort(units)  # equal units together: their edges stay in the cache
         units, key = units[order], key[order]
         at, todo, step = self.last[units], np.arange(len(units)), 1
         taken, counts, log_p = [], np.zeros(len(units), np.int64), np.zeros(len(units))
@@ -209,15 +210,36 @@ def below(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(location), -np.inf, np.minimum(location - np.log(shift), top))
 
 
+def finish_one(x: int) -> int:
+    """``finish`` of one number, without arrays."""
+    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
+    x = ((x ^ (x >> 29)) * 0x9E3779B97F4A7C15) & MASK
+    return x ^ (x >> 32)
+
+
+class _Index(dict):
+    """Numbers units in the order of their first use."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
 class _Text:
     """Search state of one text: samples as (edges, edges per unit, log probability per unit) and the queue of sets."""
 
     def __init__(self, key: int, units: np.ndarray):
-        self.key, self.units, self.samples, self.scores, self.queue = np.uint64(key), units, [], [], []
+        self.key, self.units, self.samples, self.scores, self.queue = key, units, [], [], []
+
+    def seed(self, sample: int, what: int) -> int:
+        return finish_one((self.key + sample * 4 + what) & MASK)
+
+    def noise(self, sample: int, what: int, place: int) -> float:
+        return ((finish_one((self.seed(sample, what) + (place + 1) * int(STEP)) & MASK) >> 11) + 0.5) * 2.0 ** -53
 
-    def noise(self, sample: int, what: int, places: np.ndarray) -> np.ndarray:
-        seed = finish(np.array([self.key + np.uint64(sample * 4 + what)]))[0]
-        return ((finish(seed + (places.astype(np.uint64) + np.uint64(1)) * STEP) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    def noises(self, sample: int, what: int, since: int, to: int) -> np.ndarray:
+        places = np.arange(since + 1, to + 1, dtype=np.uint64)
+        return ((finish(np.uint64(self.seed(sample, what)) + places * STEP) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
     def add(self, edges: np.ndarray, counts: np.ndarray, log_p: np.ndarray, score: float, since: int, k: int) -> None:
         """A new sample that shares its units before ``since`` with earlier ones; queues the sets that leave it later."""
@@ -227,7 +249,7 @@ class _Text:
         before = np.concatenate(([0.0], np.cumsum(log_p)))[:-1]
         with np.errstate(divide="ignore"):
             location = (before + np.log(-np.expm1(np.minimum(log_p, 0.0))))[since:]
-        top = below(location, score, self.noise(number, 1, np.arange(since, len(log_p))))
+        top = below(location, score, self.noises(number, 1, since, len(log_p)))
         best = np.argpartition(-top, min(k, len(top) - 1))[:k + 1] if len(top) else []
         for i in best:
             if np.isfinite(top[i]):
@@ -241,18 +263,19 @@ class _Text:
 
 def sample_batch(model: Pieces, keys: list[int], texts: list[str], k: int, theta: float) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text its samples: (piece ids, log probability, perturbed score, log inclusion probability), best first."""
-    index: dict[str, int] = {}
+    index = _Index()
     states = []
     for key, text in zip(keys, texts):
         cut = model.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        states.append(_Text(key, np.array([index.setdefault(u, len(index)) for u in cut], np.int64)))
+        states.append(_Text(key, np.array(list(map(index.__getitem__, cut)), np.int64)))
     lattice = Lattice(model, list(index), theta) if index else None
     live = [s for s in states if len(s.units)]
 
     def draw(jobs: list[tuple[_Text, int]], sample: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """New draws of each text's units from a place on, all texts together."""
         units = np.concatenate([s.units[i:] for s, i in jobs])
-        seeds = np.concatenate([finish(finish(np.full(1, s.key + np.uint64(sample * 4))) + np.arange(i, len(s.units), dtype=np.uint64) * STEP) for s, i in jobs])
+        base = np.repeat(np.array([s.seed(sample, 0) for s, _ in jobs], np.uint64), [len(s.units) - i for s, i in jobs])
+        seeds = finish(base + np.concatenate([np.arange(i, len(s.units), dtype=np.uint64) for s, i in jobs]) * STEP)
         edges, counts, log_p = lattice.draw(units, seeds)
         ends = np.concatenate(([0], np.cumsum(counts)))
         out, at = [], 0
@@ -264,14 +287,14 @@ def sample_batch(model: Pieces, keys: list[int], texts: list[str], k: int, theta
 
     if live:
         for s, got in zip(live, draw([(s, 0) for s in live], 0)):
-            s.add(*got, float(-np.log(-np.log(s.noise(0, 2, np.zeros(1))[0]))), 0, k)
+            s.add(*got, float(-np.log(-np.log(s.noise(0, 2, 0)))), 0, k)
     for number in range(1, k):
         jobs = []
         for s in live:
             if s.queue:
                 score, base, unit, shut = heapq.heappop(s.queue)
                 shut = shut or (s.path(base, unit),)
-                other = lattice.draw_other(int(s.units[unit]), list(shut), lambda j, s=s: float(s.noise(number, 3, np.array([j]))[0]))
+                other = lattice.draw_other(int(s.units[unit]), list(shut), lambda j, s=s: s.noise(number, 3, j))
                 jobs.append((s, -score, base, unit, shut, other))
         if not jobs:
             break
@@ -285,7 +308,7 @@ def sample_batch(model: Pieces, keys: list[int], texts: list[str], k: int, theta
             left = 1.0 - sum(float(np.exp(lattice.log_share[list(x)].sum())) for x in shut)
             if left > 1e-12:
                 location = np.array([old_log[:unit].sum() + np.log(left)])
-                top = float(below(location, score, s.noise(number, 2, np.array([unit + 1])))[0])
+                top = float(below(location, score, np.array([s.noise(number, 2, unit + 1)]))[0])
                 heapq.heappush(s.queue, (-top, base, unit, shut))
     out = []
     for s in states:
