@@ -30,8 +30,8 @@ CHUNK = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 SPACE = regex.compile(rf"[{WHITE}]*")
 SHORT = 48
 #: entries a task keeps at most: words met, prefix states, pairs of tokens
-WORDS = 800_000
-STATES = 400_000
+WORDS = 400_000
+STATES = 200_000
 _counters: dict[str, "PrefixCounter"] = {}
 
 
@@ -189,14 +189,14 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                changes = own.changes(text)
-                rows.append((len(text.encode("utf-8", "surrogatepass")), int(np.frombuffer(changes, np.int8).sum(dtype=np.int64)), changes))
-            if rows:
+            for lo in range(0, batch.num_rows, 500):
+                part, rows = batch.slice(lo, 500), []
+                for text in part.column("text").to_pylist():
+                    text = text or ""
+                    changes = own.changes(text)
+                    rows.append((len(text.encode("utf-8", "surrogatepass")), int(np.frombuffer(changes, np.int8).sum(dtype=np.int64)), changes))
                 got = arrow_rows(PREFIXES, rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *got.columns], names=["doc_id", *got.schema.names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *got.columns], names=["doc_id", *got.schema.names])
 
     return docs.select("doc_id", "text").mapInArrow(count, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(PREFIXES).fields]))
 
