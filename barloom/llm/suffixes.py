@@ -35,7 +35,7 @@ from barloom.llm.near import finish
 
 SPAN = 200
 KEY = 24
-CROWD = 128
+CROWD = 1000
 SAMPLE_TEXTS = 400
 R1, R2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 PLACE = np.uint64((1 << 20) - 1)
@@ -118,9 +118,9 @@ def _gathered(texts: list[bytes]) -> tuple | None:
 
 
 RUN = "range int, keys long, lcp binary, rest binary, repeated binary, refs binary, names binary"
-FOUND = "anchor long, block long, d1 long, d2 long, place int, first int, end int, copies int"
-#: place of an anchor: number of the text in the run, anchor, first window, end of windows, copies of the text, block
-REF = np.dtype([("text", "<i4"), ("place", "<i4"), ("first", "<i4"), ("end", "<i4"), ("copies", "<i4"), ("block", "<i8")])
+FOUND = "anchor long, block long, d1 long, d2 long, first int, end int, copies int"
+#: block of an anchor: number of the text in the run, first window, number of windows, copies of the text (2: more than one), hash
+REF = np.dtype([("text", "<u2"), ("first", "<u4"), ("windows", "<u1"), ("copies", "<u1"), ("block", "<i8")])
 
 
 def sorted_runs(bounds: list[bytes]) -> Callable:
@@ -129,23 +129,25 @@ def sorted_runs(bounds: list[bytes]) -> Callable:
     edges = np.array(bounds, f"S{KEY}")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(1)
         for batch in batches:
             counts: dict[bytes, int] = {}
             for text in batch.column("text").to_pylist():
                 text = encoded(text)
                 counts[text] = counts.get(text, 0) + 1
             texts = list(counts)
+            assert len(texts) < 1 << 16, "Arrow batches hold 10,000 rows by default"
             got = _gathered(texts)
             if got is None:
                 continue
-            keys, (text, place, first, end, block) = got
+            keys, (text, _, first, end, block) = got
             copies = np.array(list(counts.values()))
             names = np.array([name_of(t) for t in texts], np.int64)
             words = np.ascontiguousarray(keys).view(">u8")
             order = np.lexsort(words.T[::-1])
             keys = keys[order]
             refs = np.empty(len(order), REF)
-            for field, values in zip(REF.names, (text, place, first, end, copies[text], block.view(np.int64))):
+            for field, values in zip(REF.names, (text, first, end - first, np.minimum(copies[text], 2), block.view(np.int64))):
                 refs[field] = values[order]
             differ = keys[1:] != keys[:-1]
             new = np.concatenate(([True], differ.any(axis=1)))
@@ -164,7 +166,7 @@ def sorted_runs(bounds: list[bytes]) -> Callable:
                 rest = heads[lo:hi][np.arange(KEY) >= common[:, None]]
                 alone = refs[starts[lo:hi][~again[lo:hi]]]
                 used, alone["text"] = np.unique(alone["text"], return_inverse=True)
-                rows.append((int(at[lo]), int(hi - lo), common.tobytes(), rest.tobytes(), again[lo:hi].tobytes(), alone.tobytes(), names[used].tobytes()))
+                rows.append((int(at[lo]), int(hi - lo), common.tobytes(), pack.compress(rest.tobytes()), again[lo:hi].tobytes(), pack.compress(alone.tobytes()), names[used].tobytes()))
             local = again[group]
             if local.any():
                 some, ids = refs[local], np.fromiter((xxhash.xxh3_64_intdigest(k.tobytes()) for k in heads[again]), np.uint64, int(again.sum()))
@@ -173,7 +175,7 @@ def sorted_runs(bounds: list[bytes]) -> Callable:
                     part = some[lo:lo + 20_000].copy()
                     used, part["text"] = np.unique(part["text"], return_inverse=True)
                     salt = xxhash.xxh32_intdigest(names[used].tobytes()) % (len(edges) + 1)
-                    rows.append((salt, 0, b"", b"", hashed[lo:lo + 20_000].tobytes(), part.tobytes(), names[used].tobytes()))
+                    rows.append((salt, 0, b"", b"", hashed[lo:lo + 20_000].tobytes(), pack.compress(part.tobytes()), names[used].tobytes()))
             for row in rows:
                 yield arrow_rows(RUN, [row])
 
@@ -234,15 +236,19 @@ def merged(runs: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, int, int
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: merges the runs of each range and gives the places of repeated keys."""
     ranges: dict[int, list[dict]] = {}
+    unpack = zstandard.ZstdDecompressor()
 
     def rows(ids: np.ndarray, refs: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
         name = names[refs["text"]]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (
-            ids, refs["block"], name[:, 0], name[:, 1], refs["place"], refs["first"], refs["end"], refs["copies"])], schema=arrow_schema(FOUND))
+            ids, refs["block"], name[:, 0], name[:, 1], refs["first"].astype(np.int32), (refs["first"] + refs["windows"]).astype(np.int32),
+            refs["copies"].astype(np.int32))], schema=arrow_schema(FOUND))
 
     for batch in batches:
         for row in batch.to_pylist():
+            row["refs"] = unpack.decompress(row["refs"])
             if row["keys"]:
+                row["rest"] = unpack.decompress(row["rest"])
                 ranges.setdefault(row["range"], []).append(row)
             else:
                 yield rows(np.frombuffer(row["repeated"], np.int64), np.frombuffer(row["refs"], REF), np.frombuffer(row["names"], np.int64).reshape(-1, 2))
@@ -296,7 +302,7 @@ def candidate_anchors(docs: DataFrame) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(1)
+    pack = zstandard.ZstdCompressor(3)
     for batch in batches:
         texts = [encoded(t) for t in batch.column("text").to_pylist()]
         names = [name_of(t) for t in texts]
@@ -412,14 +418,14 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     same = cut_lineage(same)
     twice = cut_lineage(same.filter("copies > 1").select("anchor", "block"))
     sure = (found.join(twice, ["anchor", "block"], "left_semi")
-            .select("d1", "d2", F.col("first").alias("start"), (F.col("end") - 1 + SPAN).alias("end")).distinct())
+            .select("d1", "d2", F.col("first").alias("start"), (F.col("end") - 1 + SPAN).alias("end")))
     several = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     wanted = same.join(cut_lineage(several), "anchor").select("one.*", "anchor", "kinds", F.least("copies", F.lit(2)).cast("int").alias("copies"))
     wanted = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "kinds", "copies", "first", "end")).alias("wanted"))
     texts = distinct_texts(docs)
     blocks = texts.join(wanted, ["d1", "d2"]).mapInArrow(_blocks, WINDOWS)
     open_ = blocks.repartition(partitions(docs.sparkSession), "slot").mapInArrow(_repeated_windows, SPANS)
-    spans = cut_lineage(sure.union(open_).groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    spans = cut_lineage(sure.union(open_).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     return texts.join(spans, ["d1", "d2"]).mapInArrow(_cut, CUT)
 
 
