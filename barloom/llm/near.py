@@ -11,8 +11,9 @@ fewer words: the whole sequence as one shingle; no words: empty, linked with not
    the XOR of two sketches counts, by its population count, the values in which the two differ.
 3. Buckets (equal band) are worked off without listing their pairs: every class is compared with one leader, links are
    grown to components, and only buckets which then still hold several components go on: first each class against the
-   leaders of other components, then everything outside a bucket's largest component against the bucket. The last step
-   leaves no pair of different components in a common bucket uncompared.
+   leaders of other components, then everything outside a bucket's largest component against the bucket, each class with the
+   partner of the closest sketch. The last step does the same with all partners and leaves no pair of different
+   components in a common bucket uncompared.
 4. Each comparison first looks at the sketches in the JVM. A pair estimated below 0.5, six standard deviations under the
    threshold, is dropped. A second odd sketch folds the whole set: its XOR has at most as many bits as the sets have
    shingles that only one of them holds, so a count above a seventh of both sizes proves a similarity under 0.75 (no loss).
@@ -175,10 +176,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def promising(a: str, b: str) -> Column:
     """Whether the sketches (columns ``sketch_<side>``, sizes ``n_<side>``) leave a link possible."""
-    half = BITS // 64
-    bits = lambda lo: sum((F.bit_count(F.col(f"sketch_{a}")[i].bitwiseXOR(F.col(f"sketch_{b}")[i])) for i in range(lo, lo + half)), F.lit(0))
-    sizes = F.col(f"n_{a}") + F.col(f"n_{b}")
-    return (7 * bits(half) <= sizes) & (bits(0) <= bits_apart(0.5))
+    return (7 * apart(a, b, BITS // 64) <= F.col(f"n_{a}") + F.col(f"n_{b}")) & (apart(a, b, 0) <= bits_apart(0.5))
+
+
+def apart(a: str, b: str, lo: int) -> Column:
+    """Population count of the XOR of the MinHash sketches (lo = 0) or whole-set sketches (lo = BITS // 64)."""
+    return sum((F.bit_count(F.col(f"sketch_{a}")[i].bitwiseXOR(F.col(f"sketch_{b}")[i])) for i in range(lo, lo + BITS // 64)), F.lit(0))
 
 
 def sketched(rows: DataFrame, sketches: DataFrame, side: str) -> DataFrame:
@@ -207,11 +210,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     links = cut_lineage(confirm(_promising_pairs(first, sketches), sets))
     found = cut_lineage(grow_components(wanted, links))
 
-    for all_pairs in (False, True):
+    for step in ("leaders", "closest", "all"):
         mixed = _mixed_buckets(members, found)
         if mixed.isEmpty():
             break
-        pairs = _remaining_pairs(mixed, sketches) if all_pairs else _promising_pairs(_leader_pairs(mixed), sketches)
+        pairs = _promising_pairs(_leader_pairs(mixed), sketches) if step == "leaders" else _remaining_pairs(mixed, sketches, step == "closest")
         links = cut_lineage(links.union(confirm(cut_lineage(pairs), sets)))
         found = cut_lineage(grow_components(wanted, links))
 
@@ -237,14 +240,16 @@ def _leader_pairs(mixed: DataFrame) -> DataFrame:
     """Each class against the leaders of another component: at most two pairs a class and bucket."""
     ends = F.explode(F.array("low", "high"))
     return (mixed.select("node", "component", ends.alias("end")).filter("component <> end.component")
-            .select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct())
+            .select(F.col("node").alias("a"), F.col("end.node").alias("b")).distinct())
 
 
 def _promising_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    return sketched(sketched(pairs, sketches, "a"), sketches, "b").filter(promising("a", "b")).select("a", "b")
+    """Of each class's pairs the promising one with the closest sketch."""
+    close = sketched(sketched(pairs, sketches, "a"), sketches, "b").filter(promising("a", "b"))
+    return close.groupBy("a").agg(F.min_by("b", apart("a", "b", 0)).alias("b"))
 
 
-def _remaining_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+def _remaining_pairs(mixed: DataFrame, sketches: DataFrame, closest: bool) -> DataFrame:
     """The promising pairs of different components in a bucket. The bucket's largest component is only the other side of a
     pair, never both, so a large component costs its size times the few classes outside it. The sketches travel with the members and
     are compared inside the join: pairs they rule out are never rows."""
@@ -255,8 +260,10 @@ def _remaining_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     many = rows.select("key", F.col("node").alias("q"), F.col("component").alias("qc"), "main")
     few, many = cut_lineage(sketched(few, sketches, "p")), cut_lineage(sketched(many, sketches, "q"))
     other = (F.col("pc") != F.col("qc")) & ((F.col("qc") == F.col("main")) | (F.col("p") < F.col("q")))
-    return (few.join(many.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other & promising("p", "q"))
-            .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    found = few.join(many.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other & promising("p", "q"))
+    if closest:
+        return found.groupBy(F.col("p").alias("a")).agg(F.min_by("q", apart("p", "q", 0)).alias("b"))
+    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
