@@ -27,6 +27,11 @@ def forward_fill(x: Column | str) -> Column:
     return F.last(col(x), ignorenulls=True).over(to_date())
 
 
+def first_known(x: Column | str) -> Column:
+    """First known value of the symbol, on every row. In the order of the other frames, so it needs no sort of its own."""
+    return F.first(col(x), ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
 def backward_fill(x: Column | str) -> Column:
     """Next known value. A running frame over descending dates: a frame reaching to the end would be rebuilt per row."""
     back = Window.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)

@@ -102,7 +102,8 @@ def ffill(df: DataFrame, columns: Sequence[str] = PRICE_FIELDS) -> DataFrame:
 
 
 def ffill_bfill(df: DataFrame, columns: Sequence[str] = PRICE_FIELDS) -> DataFrame:
-    return with_columns_by(df, columns, lambda c: F.coalesce(frames.forward_fill(c), frames.backward_fill(c)))
+    """After the forward fill only rows before the first known value are open, so the backward fill is that value."""
+    return with_columns_by(df, columns, lambda c: F.coalesce(frames.forward_fill(c), frames.first_known(c)))
 
 
 def mad_clip(df: DataFrame, columns: Sequence[str], n: float = 3.0) -> DataFrame:

@@ -9,14 +9,17 @@ from barloom.functions.logits import argmax_class, parse_logits, softmax
 from barloom.operators.ranking import average_rank
 
 
-def _paired(df: DataFrame, pred: str, label: str) -> DataFrame:
-    return df.where(F.col(pred).isNotNull() & F.col(label).isNotNull())
+def _ranked_pairs(df: DataFrame, pred: str, label: str) -> DataFrame:
+    """(date, _p, _l, _rp, _rl): rows with a missing side keep their date and count in no rank or sum."""
+    both = F.col(pred).isNotNull() & F.col(label).isNotNull()
+    pairs = df.select("date", F.when(both, F.col(pred)).alias("_p"), F.when(both, F.col(label)).alias("_l"))
+    return average_rank(average_rank(pairs, "_p", "_rp"), "_l", "_rl")
 
 
 def ic_spearman_by_day(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
-    """Correlation of average ranks per date; NULL when a side is constant."""
-    ranked = average_rank(average_rank(_paired(df, pred, label), pred, "_rp"), label, "_rl")
-    return ranked.groupBy("date").agg(guarded_corr("_rp", "_rl").alias("IC"))
+    """Correlation of average ranks per date, over the rows with both sides; NULL when a side is constant or no row has
+    both, so that no day is lost."""
+    return _ranked_pairs(df, pred, label).groupBy("date").agg(guarded_corr("_rp", "_rl").alias("IC"))
 
 
 def ic_pearson_by_day(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
@@ -94,10 +97,8 @@ def with_softmax(df: DataFrame, logits: str = "logits", out: str = "prob") -> Da
 
 def ic_by_day(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
     """(date, IC, IC_pearson). The plain and the rank correlation come from one aggregate over the ranked rows."""
-    both = F.col(pred).isNotNull() & F.col(label).isNotNull()
-    ranked = average_rank(average_rank(df.where(both), pred, "_rp"), label, "_rl")
-    return ranked.groupBy("date").agg(guarded_corr("_rp", "_rl").alias("IC"),
-                                      guarded_corr(pred, label).alias("IC_pearson"))
+    return _ranked_pairs(df, pred, label).groupBy("date").agg(guarded_corr("_rp", "_rl").alias("IC"),
+                                                              guarded_corr("_p", "_l").alias("IC_pearson"))
 
 
 def evaluation_summary(df: DataFrame, pred: str = "pred", label: str = "label", pred_class: str = "pred_class",

@@ -1,8 +1,10 @@
 """Exact ranks and medians inside a group (a date) of any size.
 
 A plain window by date puts one date's whole universe into one task. Here each group is cut into cells by the
-leading bits of the value; counts of the cells give the offset of a cell, and only the inside of a cell is sorted. The
-cut is a function of the value alone: no sampling, no statistics, same answer when a lost task is replayed.
+leading bits of the value; a cell that holds more than CELL distinct values is cut again evenly between its smallest and
+largest value, LEVELS times, so values crowded into a narrow range spread out too. Counts of the cells give the offset of a
+cell, and only the inside of a cell is sorted. The cut depends on the values alone (counts, minima and maxima, no sampling), so
+a replayed task gives the same answer.
 """
 
 from __future__ import annotations
@@ -13,8 +15,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Cells per power of two: no cell spans values more than about one percent apart.
 CELLS_PER_OCTAVE = 64
+# Distinct values a cell may hold before it is cut again, and how often it is.
+CELL = 20_000
+LEVELS = 3
 # Groups of equal values above this size are cut further when rows inside them must be ordered.
 TIE_CELL = 1 << 20
+# Lengths of the prefixes tried to cut them when the tie-break column is a string.
+PREFIXES = (3, 6, 10, 16, 32)
 
 
 def _cell(value: Column) -> Column:
@@ -30,7 +37,8 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """
     by = list(by)
     values = (df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-              .withColumn("_cell", _cell(F.col(value))))
+              .withColumn("_cell", F.array(_cell(F.col(value)))))
+    values = cut_crowded(values, by, value)
     cells = values.groupBy(*by, "_cell").agg(F.sum("n").alias("_cell_n"))
     ordered = Window.partitionBy(*by).orderBy("_cell")
     offsets = cells.select(
@@ -43,6 +51,22 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
             .select(*by, value, "n", (F.col("_offset") + F.col("_upto") - F.col("n")).alias("below"), "total"))
 
 
+def cut_crowded(values: DataFrame, by: list[str], value: str, cell: int | None = None, levels: int | None = None) -> DataFrame:
+    """Lengthen ``_cell``, an array in value order, where more than CELL distinct values share it.
+
+    Crowded cells are few; where there are none, adaptive execution finds the cut's side empty and drops the join's work.
+    """
+    cell, levels = cell or CELL, LEVELS if levels is None else levels
+    for _ in range(levels):
+        crowded = (values.groupBy(*by, "_cell").agg(F.count("*").alias("_k"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+                   .where((F.col("_k") > cell) & (F.col("_high") > F.col("_low"))))
+        part = F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (F.floor(F.col("_k") / cell) + 1) * 4).cast("int")
+        values = (values.join(crowded, [*by, "_cell"], "left")
+                  .withColumn("_cell", F.when(F.col("_k").isNull(), F.col("_cell")).otherwise(F.concat("_cell", F.array(part))))
+                  .drop("_k", "_low", "_high"))
+    return values
+
+
 def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date",)) -> DataFrame:
     """Average-of-ties rank of each row in its group; NULL stays NULL."""
     ranks = value_ranks(df, by, value).select(
@@ -60,11 +84,23 @@ def exact_median(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date
     return middle.groupBy(*by).agg((F.sum(F.col(value) * F.col("_w")) / 2).alias(out))
 
 
-def _tie_cell(df: DataFrame, tie: str) -> Column:
-    """Order-preserving cut of the tie-break column."""
-    if df.schema[tie].dataType.typeName() == "string":
-        return F.substring(F.col(tie), 1, 3)
-    return F.lpad(F.floor(F.col(tie) / TIE_CELL).cast("string"), 20, "0")
+def _with_tie_cells(rows: DataFrame, keys: list[str], tie: str, hot: Column, limit: int | None = None) -> DataFrame:
+    """Add ``_part``, an order-preserving cut of the tie-break column inside sets of equal values larger than TIE_CELL.
+
+    Strings are cut by the shortest of a few prefixes of which none holds more than TIE_CELL rows of the set.
+    """
+    limit = limit or TIE_CELL
+    if rows.schema[tie].dataType.typeName() != "string":
+        return rows.withColumn("_part", F.when(hot, F.lpad(F.floor(F.col(tie) / limit).cast("string"), 20, "0")).otherwise(F.lit("")))
+    cut = rows.where(hot)
+    most = cut.select(*keys).distinct()
+    for size in PREFIXES:
+        worst = (cut.groupBy(*keys, F.substring(tie, 1, size).alias("_p")).agg(F.count("*").alias("_c"))
+                 .groupBy(*keys).agg(F.max("_c").alias(f"_c{size}")))
+        most = most.join(worst, keys)
+    length = F.coalesce(*[F.when(F.col(f"_c{size}") <= limit, size) for size in PREFIXES], F.lit(PREFIXES[-1]))
+    sized = rows.join(most.select(*keys, length.alias("_size")), keys, "left")
+    return sized.withColumn("_part", F.when(hot, F.expr(f"substring(`{tie}`, 1, _size)")).otherwise(F.lit(""))).drop("_size")
 
 
 def descending_row_number(df: DataFrame, value: str, out: str, total: str, by: Sequence[str] = ("date",),
@@ -79,7 +115,7 @@ def descending_row_number(df: DataFrame, value: str, out: str, total: str, by: S
         F.col("total").alias(total))
     rows = df.join(ranks, [*by, value])
     hot = F.col("_ties") > TIE_CELL
-    rows = rows.withColumn("_part", F.when(hot, _tie_cell(df, tie)).otherwise(F.lit("")))
+    rows = _with_tie_cells(rows, [*by, value], tie, hot)
     parts = rows.where(hot).groupBy(*by, value, "_part").agg(F.count("*").alias("_part_n"))
     running = Window.partitionBy(*by, value).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     offsets = parts.select(*by, value, "_part", (F.sum("_part_n").over(running) - F.col("_part_n")).alias("_before"))

@@ -532,9 +532,9 @@ CTE["feature_filled"] = ffill_bfill("features", FT.FEATURES)
 check("E21_build_feature_matrix", f"""select symbol, date, {cols(FT.FEATURES, 4)} from feature_filled where date in (
   select date from (select date, row_number() over (order by date) as pos from (select distinct date from feature_filled))
   where pos > 60)""")
-_long = ["DAILY_RET", "HL_SPREAD", "MOM_5", "SMA_10"]
-check("E22_feature_matrix_long", " union all ".join(
-    f"select date, symbol, '{n}' as feature, {r(n, 'value', 4)} from features" for n in _long))
+check("E22_feature_matrix_long", f"""select date, symbol, name as feature, {r('v', 'value', 4)} from (
+  select date, symbol, unnest([{', '.join(f"'{n}'" for n in FT.FEATURES)}]) as name,
+         unnest([{', '.join(f'cast({n} as double)' for n in FT.FEATURES)}]) as v from features)""")
 _lags = {"close": "close", "open": "close", "high": "close", "low": "close", "vwap": "close", "volume": "volume"}
 check("E23_lag_ratio_factors", f"""
   select a.symbol, a.date, cast(g.lag as integer) as lag, {', '.join(r(f'b.{f} / nullif(a.{d}, 0)', f, 5) for f, d in _lags.items())}
@@ -600,18 +600,20 @@ _taps = "(0, -0.1294095226), (1, 0.2241438680), (2, 0.8365163037), (3, 0.4829629
 _bank = f"""(select 'low' as part, j, w from (values {_taps}) t(j, w) union all
     select 'high', 3 - j, case when j % 2 = 0 then w else -w end from (values {_taps}) t(j, w))"""
 _coef = f"(select part, k, 2 * k + 1 - j as i, w from {_bank} cross join (select unnest(range(11)) as k))"
+_sides = " union all ".join(f"""
+  select s.split, s.symbol, s.sample, '{side}' as part, m.i, sum(s.v * m.low) as low, sum(s.v * m.high) as high
+  from (select split, symbol, sample, i - {start} as i, v from samples where i >= {start} and i < {start + n}) s join (
+    select a.i, b.i as j, sum(case when a.part = 'low' then a.w * b.w else 0 end) as low,
+           sum(case when a.part = 'high' then a.w * b.w else 0 end) as high from {_coef} a join {_coef} b
+    on a.part = b.part and a.k = b.k and a.k < {(n + 3) // 2} and a.i between 0 and {n - 1} and b.i between 0 and {n - 1} group by 1, 2) m
+  on m.j = s.i group by 1, 2, 3, 4, 5""" for side, start, n in (("x", 0, 20), ("y", 20, 2)))
 check("G9_wavelet_split", f"""
-  select split, symbol, cast(sample as integer) as sample, cast(i as integer) as i, {r('low', 'low')}, {r('high', 'high')} from (
-    select split, symbol, sample, m.i, sum(s.v * m.low) as low, sum(s.v * m.high) as high
-    from (select * from samples where i < 20) s join (
-      select a.i, b.i as j, sum(case when a.part = 'low' then a.w * b.w else 0 end) as low,
-             sum(case when a.part = 'high' then a.w * b.w else 0 end) as high from {_coef} a join {_coef} b
-      on a.part = b.part and a.k = b.k and a.i between 0 and 19 and b.i between 0 and 19 group by 1, 2) m on m.j = s.i
-    group by 1, 2, 3, 4)""")
+  select split, symbol, cast(sample as integer) as sample, part, cast(i as integer) as i, {r('low', 'low')}, {r('high', 'high')} from ({_sides})""")
 check("G10_stack_features", f"""
   select symbol, date, 'f' as part, i, {r('v', 'v', 4)} from (
-    select f.symbol, f.date, unnest([0, 1, 2, 3]) as i,
-           unnest([coalesce(f.DAILY_RET, 0), f.HL_SPREAD, l.fwd_ret, case when l.fwd_ret > 0 then 1.0 else 0.0 end]) as v
+    select f.symbol, f.date, unnest(range({len(FT.FEATURES) + 2})::integer[]) as i,
+           unnest([{', '.join(f'coalesce(cast(f.{n} as double), 0)' for n in sorted(FT.FEATURES))}, coalesce(l.fwd_ret, 0),
+                   case when l.fwd_ret > 0 then 1.0 else 0.0 end]) as v
     from features f join labels l using (symbol, date))""")
 
 check("H1_correlation_matrix", f"select src, dst, {r('weight', 'weight')} from links")

@@ -45,6 +45,10 @@ def fits(spark, sf):
     return V.small_dates(spark, sf)
 
 
+def event_dates_fit(spark, sf):
+    return V.small_dates(spark, sf, "events", "ts")
+
+
 # Sources and sinks: written in one layout, read back through the reader.
 
 @query("A2_read_csv_folder")
@@ -208,7 +212,7 @@ def _(spark, sf):
 
 @query("C3_align_outer")
 def _(spark, sf):
-    return align.align_outer(V.event_bars(spark, sf), fits(spark, sf))
+    return align.align_outer(V.event_bars(spark, sf), event_dates_fit(spark, sf))
 
 
 @query("C4_align_intersection")
@@ -219,7 +223,7 @@ def _(spark, sf):
 @query("C5_asof_prices")
 def _(spark, sf):
     events = V.event_bars(spark, sf)
-    wanted = align.align_outer(events.select("symbol", "date", "close"), fits(spark, sf)).select("symbol", "date")
+    wanted = align.align_outer(events.select("symbol", "date", "close"), event_dates_fit(spark, sf)).select("symbol", "date")
     return align.asof_prices(wanted, events)
 
 
@@ -356,9 +360,7 @@ def _(spark, sf):
 
 @query("E22_feature_matrix_long", 4)
 def _(spark, sf):
-    names = ["DAILY_RET", "HL_SPREAD", "MOM_5", "SMA_10"]
-    table = features.sma(features.momentum(features.high_low_spread(features.daily_return(V.panel(spark, sf)))))
-    return features.feature_matrix_long(table.select("symbol", "date", *names), names)
+    return features.feature_matrix_long(features.compute_features(V.panel(spark, sf)).select("symbol", "date", *features.FEATURES))
 
 
 @query("E23_lag_ratio_factors", 5)
@@ -485,17 +487,21 @@ def _(spark, sf):
 
 @query("G9_wavelet_split")
 def _(spark, sf):
-    split = windows.wavelet_split(_windowed(spark, sf), "x_fwd_ret", 20)
-    parts = F.posexplode(F.arrays_zip(F.col("x_fwd_ret_low").alias("low"), F.col("x_fwd_ret_high").alias("high")))
-    return split.select("split", "symbol", "sample", parts.alias("i", "z")).select(
-        "split", "symbol", "sample", "i", "z.low", "z.high")
+    """Both windows, the twenty past values and the two that follow."""
+    both = windows.wavelet_split(windows.wavelet_split(_windowed(spark, sf), "x_fwd_ret", 20), "y_fwd_ret", 2)
+
+    def parts(side):
+        zipped = F.arrays_zip(F.col(f"{side}_fwd_ret_low").alias("low"), F.col(f"{side}_fwd_ret_high").alias("high"))
+        return F.transform(zipped, lambda z, i: F.struct(F.lit(side).alias("part"), i.alias("i"), z["low"].alias("low"), z["high"].alias("high")))
+
+    return both.select("split", "symbol", "sample", F.inline(F.flatten(F.array(parts("x"), parts("y")))))
 
 
 @query("G10_stack_features", 4)
 def _(spark, sf):
-    base = features.high_low_spread(features.daily_return(V.panel(spark, sf)))
+    base = features.compute_features(V.panel(spark, sf))
     joined = base.join(targets.trend_indicator(V.labels(spark, sf)), ["symbol", "date"])
-    stacked = windows.stack_features(joined, ["HL_SPREAD", "DAILY_RET"])
+    stacked = windows.stack_features(joined, features.FEATURES)
     return _cells(stacked, ["symbol", "date"], f="features")
 
 
@@ -529,7 +535,7 @@ def _(spark, sf):
 @query("H5_spectral_vectors", 4)
 def _(spark, sf):
     """Four leading eigenpairs; the sign of a vector is free, so squares are shown."""
-    pairs = graph.spectral_vectors(graph.normalised_laplacian(*_links(spark, sf)), 4, rounds=12)
+    pairs = graph.spectral_vectors(graph.normalised_laplacian(*_links(spark, sf)), 4)
     return pairs.select("symbol", F.posexplode(F.zip_with("vector", "values", lambda v, x: F.struct(
         (v * v).alias("square"), x.alias("value")))).alias("rank", "z")).select("symbol", "rank", "z.square", "z.value")
 
@@ -789,24 +795,24 @@ def _(spark, sf):
 def _(spark, sf):
     """A stand-in model: mean of the window per horizon step, all symbols of a date in one call."""
     def predict(frame):
+        import numpy as np
         import pandas as pd
 
-        mean = [float(sum(x)) / len(x) for x in frame["x_fwd_ret"]]
-        parts = [pd.DataFrame({"symbol": frame["symbol"], "as_of": frame["as_of"], "step": step,
-                               "up": [m > 0 for m in mean], "pred": mean}) for step in (0, 1)]
+        mean = np.stack(frame["x_fwd_ret"].to_numpy()).mean(axis=1)
+        parts = [pd.DataFrame({"symbol": frame["symbol"], "as_of": frame["as_of"], "step": step, "up": mean > 0, "pred": mean})
+                 for step in (0, 1)]
         return pd.concat(parts)
 
     table = _windowed(spark, sf).select("split", "symbol", "as_of", "x_fwd_ret")
-    scored = scoring.score_windows(table, predict, "symbol bigint, as_of date, step int, up boolean, pred double")
+    scored = scoring.score_windows(table, predict, "symbol bigint, as_of date, step int, up boolean, pred double", across="as_of")
     return scoring.last_step(scored)
 
 
 @query("M2_boosted_tree_scores")
 def _(spark, sf):
-    base = features.roc(features.sma_distance(features.volume_ratio(V.panel(spark, sf))))
+    base = features.compute_features(V.panel(spark, sf))
     tagged = targets.split_by_position(base, small_dates=fits(spark, sf)).join(V.labels(spark, sf), ["symbol", "date"])
-    names = ["ROC_5", "ROC_20", "DIST_SMA20", "VOL_ratio_5", "VOL_ratio_20"]
-    return scoring.boosted_tree_scores(tagged.select("symbol", "date", "split", "fwd_ret", *names), names)
+    return scoring.boosted_tree_scores(tagged.select("symbol", "date", "split", "fwd_ret", *features.FEATURES), features.FEATURES)
 
 
 @query("M3_pivot_scores")

@@ -5,8 +5,6 @@ Suppliers are the symbols, weeks (months, days) the dates, price per unit the pr
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.functions.frames import lagged, trailing
@@ -22,15 +20,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-_fits: dict[str, bool] = {}
+_fits: dict[tuple[str, str], bool] = {}
 
 
-def small_dates(spark: SparkSession, sf: str) -> bool:
-    """Checked once per dataset: does a table with one row per date fit a broadcast?"""
-    if sf not in _fits:
-        days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date"))
-        _fits[sf] = dates_fit(days)
-    return _fits[sf]
+def small_dates(spark: SparkSession, sf: str, source: str = "lineitem", time: str = "l_shipdate") -> bool:
+    """Checked once per table: does a table with one row per date of it fit a broadcast?"""
+    if (sf, source) not in _fits:
+        _fits[sf, source] = dates_fit(table(spark, sf, source).select(F.to_date(time).alias("date")))
+    return _fits[sf, source]
 
 
 def _ohlc(rows: DataFrame, order: Column) -> DataFrame:
@@ -186,12 +183,8 @@ def spans() -> list[dict]:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """Fresh folder for a written table, under the shared checkpoint folder where one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and spark.sparkContext.master.startswith("local"):
-        base = tempfile.gettempdir()
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    """Fresh folder for a written table, below ``spark.checkpoint.dir`` or else the warehouse; both are shared by all executors."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     import uuid
 
     return f"{base}/barloom-{name}-{uuid.uuid4().hex[:12]}"

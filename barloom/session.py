@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -33,16 +31,12 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
 
-    Iterative jobs call this so that a lost executor replays one step, not the whole loop. Only a local
-    session without that setting gets a folder of its own.
+    Iterative jobs call this so that a lost executor replays one step, not the whole loop. Without that setting the
+    folder is one below the warehouse, which all executors share too.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint()

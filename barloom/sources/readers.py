@@ -12,6 +12,8 @@ from barloom.functions.expr import null_if_nan
 # Block headings of the sectioned price file and the field each one carries.
 SECTIONS = {"开盘价": "open", "最高价": "high", "最低价": "low", "收盘价": "close"}
 SECTION_TAIL = 2
+# One cell behind its comma: quoted text (a doubled quote stands for one) or anything up to the next comma.
+CELL = r',((?:"(?:[^"]++|"")*+"|[^,"]++)*+)'
 
 
 def read_bars(spark: SparkSession, path: str, date: str = "Date") -> DataFrame:
@@ -31,8 +33,35 @@ def read_bars(spark: SparkSession, path: str, date: str = "Date") -> DataFrame:
 
 
 def read_csv_folder(spark: SparkSession, path: str, schema: StructType | str, columns: Sequence[str]) -> DataFrame:
-    """All CSV files of a glob, listed columns only; the schema is explicit so nothing is read twice."""
-    return spark.read.schema(schema).option("header", True).csv(path).select(*columns)
+    """All CSV files of a glob, listed columns by the names in each file's own header.
+
+    Files may order their columns differently and hold more of them; a listed column that a file lacks is NULL there. The
+    header of a file is its first line; names and cells meet inside the row, so one scan reads all layouts.
+    """
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    lines = _placed(spark.read.text(path).withColumnRenamed("value", "line"))
+    heads = lines.where(F.col("_block") == 0).groupBy("_file").agg(
+        F.min(F.struct("_at", F.col("line").alias("_head"))).alias("_first")).select("_file", "_first._at", "_first._head")
+    rows = (lines.join(heads.withColumnRenamed("_at", "_head_at"), "_file").where((F.col("_at") != F.col("_head_at")) & (F.col("line") != ""))
+            .withColumn("_names", F.transform(_csv_cells("_head"), _plain)).withColumn("_cells", _csv_cells("line")))
+
+    def cell(name: str) -> Column:
+        text = F.try_element_at("_cells", F.nullif(F.array_position("_names", name), F.lit(0)).cast("int"))
+        return F.nullif(_plain(text), F.lit("")).try_cast(wanted[name].dataType).alias(name)
+
+    return rows.select(*[cell(c) for c in columns])
+
+
+def _csv_cells(line: Column | str) -> Column:
+    """Cells of a line, quotes kept. Each character is read once: the repeats are possessive and cells never go back."""
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1)), lambda x: x)
+
+
+def _plain(text: Column) -> Column:
+    """A cell without its outer quotes; doubled quotes inside are single ones."""
+    quoted = F.trim(text).rlike('^"[^\\x00]*"$')
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), '^"|"$', ""), '""', '"')
+    return F.when(quoted, bare).otherwise(F.trim(text))
 
 
 def read_wide_panel(spark: SparkSession, path: str, value: str = "value", zero_missing: bool = False) -> DataFrame:
@@ -85,13 +114,13 @@ def read_positional_matrix(spark: SparkSession, path: str, dates: DataFrame, tic
     """
     n_dates, n_tickers = dates.agg(F.count("*")).scalar(), tickers.agg(F.count("*")).scalar()
     lines = numbered_lines(spark, path).where(F.col("line") != "")
-    cells = F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    cells = _csv_cells("line")
     wrong = F.when(F.size("_cells") != n_tickers, F.raise_error(F.lit("columns and tickers differ in number")))
     checked = lines.withColumn("_cells", cells).withColumn("_cells", F.coalesce(wrong.cast("array<string>"), "_cells"))
     rows = lines.agg(F.count("*")).scalar()
     days = dates.withColumn("pos", F.when(rows != n_dates, F.raise_error(F.lit("rows and dates differ in number"))
                                           .cast("int")).otherwise(F.col("pos")))
-    text = F.trim(F.regexp_replace("_text", '^"|"$', ""))
+    text = _plain(F.col("_text"))
     number: Column = text if as_text else null_if_nan(text.try_cast("double"))
     return (checked.select("pos", F.posexplode("_cells").alias("_j", "_text"))
             .join(days, "pos").select("date", "_j", "_text")
