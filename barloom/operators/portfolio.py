@@ -60,10 +60,9 @@ def daily_net_return(weights: DataFrame, returns: DataFrame, calendar: DataFrame
 
 
 def positions(scores: DataFrame, k: int, score: str = "score", position: str = "symbol") -> DataFrame:
-    """(date, ticker, weight, predicted_score), dates ascending, scores descending."""
-    return (equal_weights(scores, k, score, position)
-            .select("date", F.col("symbol").alias("ticker"), "weight", F.col(score).alias("predicted_score"))
-            .orderBy("date", F.desc("predicted_score"), "ticker"))
+    """(date, ticker, weight, predicted_score). In no order; a writer that wants one sorts (``write_results``)."""
+    return equal_weights(scores, k, score, position).select(
+        "date", F.col("symbol").alias("ticker"), "weight", F.col(score).alias("predicted_score"))
 
 
 def backtest_daily(scores: DataFrame, prices: DataFrame, benchmark: DataFrame, k: int = 10, fee: float = 0.001,

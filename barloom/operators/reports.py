@@ -34,11 +34,17 @@ def latest_holdings(positions: DataFrame) -> DataFrame:
 def held_tickers(positions: DataFrame) -> DataFrame:
     """(ticker, seat): distinct tickers numbered by first appearance in date asc, score desc order.
 
-    The first appearance is a mergeable minimum, so positions collapse to one row per ticker before the numbering.
+    The first appearance is a mergeable minimum, so positions collapse to one row per ticker. Tickers are numbered inside
+    their first date; running counts of the dates, one row each, give the offset of a date.
     """
     first = positions.where(F.col("ticker").isNotNull()).groupBy("ticker").agg(
-        F.min(F.struct("date", (-F.col("predicted_score")).alias("neg"), "ticker")).alias("_seen"))
-    return first.select("ticker", F.row_number().over(Window.orderBy("_seen")).alias("seat"))
+        F.min(F.struct("date", (-F.col("predicted_score")).alias("neg"), "ticker")).alias("_seen")).withColumn("_day", F.col("_seen.date"))
+    running = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    days = first.groupBy("_day").agg(F.count("*").alias("_n"))
+    offsets = days.select("_day", (F.sum("_n").over(running) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_day").orderBy("_seen"))
+    return (first.withColumn("_in", inside).join(offsets, "_day")
+            .select("ticker", (F.col("_before") + F.col("_in")).cast("int").alias("seat")))
 
 
 def first_held(positions: DataFrame, k: int) -> DataFrame:

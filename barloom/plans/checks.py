@@ -536,6 +536,9 @@ check("E22_feature_matrix_long", f"""select date, symbol, name as feature, {r('v
   select date, symbol, unnest([{', '.join(f"'{n}'" for n in FT.FEATURES)}]) as name,
          unnest([{', '.join(f'cast({n} as double)' for n in FT.FEATURES)}]) as v from features)""")
 _lags = {"close": "close", "open": "close", "high": "close", "low": "close", "vwap": "close", "volume": "volume"}
+check("A8_write_panel_by_feature", f"""select date, symbol, name as feature, {r('v', 'value', 4)} from (
+  select date, symbol, unnest([{', '.join(f"'{n}'" for n in FT.FEATURES)}]) as name,
+         unnest([{', '.join(f'cast({n} as double)' for n in FT.FEATURES)}]) as v from features)""")
 check("E23_lag_ratio_factors", f"""
   select a.symbol, a.date, cast(g.lag as integer) as lag, {', '.join(r(f'b.{f} / nullif(a.{d}, 0)', f, 5) for f, d in _lags.items())}
   from (select *, (high + low + close) / 3 as vwap from numbered_m) a cross join (select unnest(range(60)) as lag) g

@@ -72,10 +72,8 @@ def _(spark, sf):
 def _matrix(spark, sf):
     """Write monthly closes as a headerless matrix in date order; return (path, dates, tickers)."""
     bars = V.bars(spark, sf, "month")
-    symbols = [r.symbol for r in bars.select("symbol").distinct().orderBy("symbol").collect()]
     path = V.scratch(spark, "matrix")
-    wide = xsection.pivot_values(bars, "close", symbols)
-    wide.orderBy("date").drop("date").write.csv(path)
+    writers.write_matrix(bars, path, "close")
     tickers = bars.select("symbol").distinct().select(
         "symbol", (F.row_number().over(Window.orderBy("symbol")) - 1).cast("int").alias("pos"))
     return path, bars.select("date").distinct(), tickers
@@ -116,6 +114,15 @@ def _(spark, sf):
     return back.select("symbol", "date", "open", "high", "low", "close", "volume")
 
 
+@query("A8_write_panel_by_feature", 4)
+def _(spark, sf):
+    """A folder per feature, all features, read back."""
+    path = V.scratch(spark, "by-feature")
+    long = features.feature_matrix_long(features.compute_features(V.panel(spark, sf)).select("symbol", "date", *features.FEATURES))
+    writers.write_panel(long, path, "feature")
+    return spark.read.parquet(path).select("date", "symbol", "feature", "value")
+
+
 @query("A9_write_results")
 def _(spark, sf):
     path = V.scratch(spark, "results")

@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # for readers: nanosecond dates of dataframe libraries, and GBK text
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
+    "spark.sql.legacy.javaCharsets": "true",
 }
 
 

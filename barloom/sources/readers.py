@@ -16,12 +16,18 @@ SECTION_TAIL = 2
 CELL = r',((?:"(?:[^"]++|"")*+"|[^,"]++)*+)'
 
 
+def _needs(spark: SparkSession, setting: str) -> None:
+    """A reader changes no setting of the session; it says which one it needs."""
+    if spark.conf.get(setting, "false") != "true":
+        raise ValueError(f"set {setting} to true, as barloom.session.session does")
+
+
 def read_bars(spark: SparkSession, path: str, date: str = "Date") -> DataFrame:
     """Folder of one Parquet file per ticker; the ticker is the file name.
 
     Large panels should be rewritten once with ``write_panel``: a hundred thousand small files list slowly.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # dataframe libraries store nanosecond dates
+    _needs(spark, "spark.sql.legacy.parquet.nanosAsLong")  # dataframe libraries store nanosecond dates
     raw = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
     date = date if date in raw.columns else "__index_level_0__"
     day = F.col(date)
@@ -132,9 +138,9 @@ def read_sectioned_ohlc(spark: SparkSession, path: str, encoding: str = "GBK") -
     """CSV with one wide block per price field, each opened by a heading in its first cell, to (date, symbol, open..close).
 
     The last two rows of each block are notes and dropped. Cells that are no numbers are NULL. Spark reads
-    GBK only with the Java charsets switched on, which this reader does for the session.
+    GBK only with the Java charsets switched on, as ``session`` does.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    _needs(spark, "spark.sql.legacy.javaCharsets")
     scan = spark.read.option("encoding", encoding).csv(path)
     names = scan.columns
     raw = _numbered(_placed(scan))
