@@ -5,8 +5,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.session import cut_lineage
-
 __all__ = ["BLANKS", "arrow_rows", "arrow_schema", "cut_lineage", "grow_components", "partitions", "table", "whole", "written"]
 
 #: The white space that separates words: space and the control characters 9 to 13.
@@ -52,12 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame as a written table: a lost executor rereads files instead of replaying what came before. Unlike a checkpoint it is
+    compressed, and the optimizer carries no constraints of the earlier plan along, which grow from round to round of a loop."""
+    return written(df, "barloom-step")
+
+
 def grow_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``(node, component)`` with the smallest reachable node.
 
     ``nodes``: column node; ``links``: columns a, b (either direction, repeats allowed). Only linked nodes take part in
     the rounds. Each round every node takes the smallest label among itself and its neighbours, then the label of its
-    label (pointer jumping), so rounds grow with the logarithm of the diameter. A round is checkpointed: a lost executor
+    label (pointer jumping), so rounds grow with the logarithm of the diameter. A round is written: a lost executor
     replays one round. Messages to a node are combined before the exchange; nothing is gathered on the driver but the
     count of changed labels.
     """

@@ -151,9 +151,10 @@ def merged(limit: int, level: int) -> Callable:
 
 def packed(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. The tree has log(tasks) / log(FAN) levels; each
-    is checkpointed, so a lost executor replays one level."""
+    is written, so a lost executor replays one level."""
     now = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenized(path, limit), PIECES))
-    done, rest, tasks, level = now.filter("closed"), now.filter("not closed"), now.rdd.getNumPartitions(), 0
+    done, rest, level = now.filter("closed"), now.filter("not closed"), 0
+    tasks = 1 + (now.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0)
     while tasks > 1:
         tasks, level = -(-tasks // FAN), level + 1
         group = F.shiftright("bin", 32).bitwiseAND(0xFFFFFF) % tasks
