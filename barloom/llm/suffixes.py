@@ -35,7 +35,7 @@ from barloom.llm.near import finish
 
 SPAN = 200
 KEY = 24
-CROWD = 1000
+CROWD = 20_000
 SAMPLE_TEXTS = 400
 R1, R2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 PLACE = np.uint64((1 << 20) - 1)

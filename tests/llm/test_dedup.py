@@ -95,7 +95,7 @@ def cut_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
+@pytest.mark.parametrize("crowd", [20_000, 1])
 def test_repeated_passages(documents, corpus, monkeypatch, crowd):
     """Also with every anchor treated as crowded, which sends single windows."""
     monkeypatch.setattr(suffixes, "CROWD", crowd)
