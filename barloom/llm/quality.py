@@ -32,7 +32,7 @@ GRID = (5, 10, 20, 40, 60, 80, 120, 160, 240, 320, 400, 480, 600, 800)
 RISK = 0.01
 ALPHA = 0.05
 CAUTION = 20
-PRIVATE = ("_q_words", "_q_lines", "_q_grams", "_q_again")
+PRIVATE = ("_q_words", "_q_lines", "_q_grams", "_q_again", "_q_number")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -62,10 +62,12 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_lines": F.size("_q_lines"), "n_dup_lines": F.size("_q_lines") - F.size(F.array_distinct("_q_lines")),
         "n_repeat_words": covered,
     }
-    out = step3.withColumns({k: v.cast("long") for k, v in counts.items()})
+    # A filter on a count would be pushed below and carry the whole chain into itself, computed anew for each array element.
+    # No filter passes a projection with a row number that its own column depends on.
+    out = step3.withColumns({**{k: v.cast("long") for k, v in counts.items()}, "_q_number": F.monotonically_increasing_id()})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stratum = F.when(F.col("lang").isin(*STRATA), F.col("lang")).otherwise("other")
-    return out.withColumns({"base_failed": failed, "stratum": stratum}).drop(*PRIVATE)
+    return out.withColumns({"base_failed": failed & (F.col("_q_number") >= 0), "stratum": stratum}).drop(*PRIVATE)
 
 
 def tail(x: Column, n: Column, p: float) -> Column:
