@@ -1,5 +1,71 @@
-"""DuckDB SQL of the registered queries of this package."""
+"""DuckDB SQL of the registered queries of this package that SQL can express.
+
+The others (tokenizers, sampled segmentations, pages, packing, byte spans, spans of personal data, the forest) are tested against the libraries
+or brute force in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
+import math
+
+from barloom.llm import quality as Q
+
 CHECKS: dict[str, str] = {}
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: components over the ids of ``nodes`` by the pairs of ``links`` (both ways)
+_REACH = """reach as (select id, id as root from nodes union select l.b, r.root from reach r join links l on l.a = r.id),
+component as (select id, min(root) as component_id from reach group by id)"""
+
+CHECKS["op5_minhash_near_dedup"] = f"""with recursive
+split as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') as ws from documents),
+word as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from split),
+run as (select doc_id, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o || ' ' || lead(w, 3) over o || ' ' || lead(w, 4) over o as s
+        from word window o as (partition by doc_id order by i)),
+shingle as (select distinct doc_id, s from run where s is not null union
+            select doc_id, array_to_string(ws, ' ') from split where len(ws) between 1 and 4),
+size as (select d.doc_id, count(s) as n from documents d left join shingle using (doc_id) group by d.doc_id),
+pair as (select x.doc_id as a, y.doc_id as b, count(*) as c from shingle x join shingle y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+link as (select a, b from pair join size p on p.doc_id = a join size q on q.doc_id = b where 100 * c >= 75 * (p.n + q.n - c)),
+links as (select a, b from link union select b, a from link),
+nodes as (select doc_id as id from documents),
+{_REACH}
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from size join component on id = doc_id"""
+
+CHECKS["op6_embedding_near_dedup"] = f"""with recursive
+v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+link as (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id < y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.9),
+links as (select a, b from link union select b, a from link),
+nodes as (select vec_id as id from v),
+{_REACH}
+select id as vec_id, (select count(*) from links where a = id) as n_links, component_id, id = component_id as kept from component"""
+
+_signals = " union all ".join(f"select doc_id, stratum, '{s}' as signal, {a} as a, {b} as b from stat where not base_failed"
+                              for s, (a, b) in Q.SIGNALS.items())
+CHECKS["op9_quality_rules"] = f"""with
+split as (select doc_id, case when lang in ({', '.join(f"'{x}'" for x in Q.STRATA)}) then lang else 'other' end as stratum, coalesce(text, '') as t,
+                 regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents),
+word as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from split),
+run as (select doc_id, i, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o as g from word window o as (partition by doc_id order by i)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from run where g is not null) where n > 1),
+again as (select doc_id, count(distinct i) as n from (select doc_id, unnest([i, i + 1, i + 2]) as i from twice) group by doc_id),
+count1 as (select doc_id, stratum, len(ws) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+                  len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(regexp_extract_all(t, '\\p{{Lu}}')) as n_capitals,
+                  len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+           from split left join again using (doc_id)),
+stat as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from count1),
+label as (select doc_id, max(quality) as q from labels where doc_id is not null and quality is not null group by doc_id),
+signal as ({_signals}),
+tried as (select stratum, signal, g as cutoff, count(*) filter (where q >= 1) as n, count(*) filter (where q >= 1 and 1000 * a > g * b) as x,
+                 count(*) filter (where q < 1 and 1000 * a > g * b) as bad
+          from signal join label using (doc_id) cross join (select unnest({list(Q.GRID)}) as g) group by all),
+sure as (select stratum, signal, cutoff, bad - {Q.CAUTION} * x as gain from tried
+         where x < {Q.RISK} * n and bad - {Q.CAUTION} * x > 0 and (
+           select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(Q.RISK)!r} + (n - i) * {math.log1p(-Q.RISK)!r}))
+           from (select unnest(range(0, x + 1)) as i)) <= {Q.ALPHA / ((len(Q.STRATA) + 1) * len(Q.SIGNALS) * len(Q.GRID))!r}),
+rule as (select stratum, signal, cutoff from (select *, row_number() over (partition by stratum, signal order by gain desc, cutoff desc) as k from sure) where k = 1),
+broken as (select distinct s.doc_id from signal s join rule r using (stratum, signal) where 1000 * a > cutoff * b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and b.doc_id is null as kept
+from stat left join broken b using (doc_id)"""
