@@ -32,24 +32,33 @@ GRID = (5, 10, 20, 40, 60, 80, 120, 160, 240, 320, 400, 480, 600, 800)
 RISK = 0.01
 ALPHA = 0.05
 CAUTION = 20
-PRIVATE = ("_q_words", "_q_lines", "_q_grams", "_q_again", "_q_number")
+#: Bits for the place of a window beside its hash: texts of up to 2^PLACE words.
+PLACE = 27
+PRIVATE = ("_q_words", "_q_lines", "_q_packed", "_q_places", "_q_grams", "_q_again", "_q_number")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Documents with the counts that the rules use; existing columns of these names are replaced.
 
     A word is a run without white space. ``n_repeat_words`` counts the words inside any 3-word window that occurs at least
-    twice in the text: windows are sorted inside the row, equal neighbours are marked, and the marked windows' union
-    is measured in one pass. All of it is linear or n log n in the text's length and needs no exchange.
+    twice in the text: hashes of the windows, packed with their places, are sorted inside the row; windows with an equal
+    neighbour are sorted again as strings, which settles them, and the union of the repeated ones is measured in one pass.
+    All of it is linear or n log n in the text's length and needs no exchange.
     """
     words = F.array_remove(F.split(whole(), BLANKS), "")
     step1 = docs.withColumns({"_q_words": words, "_q_lines": F.filter(F.split(whole(), "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))})
     at = lambda i: F.col("_q_words")[i]
-    grams = F.when(F.size("_q_words") >= 4, F.sort_array(F.transform(
+    packed = F.when(F.size("_q_words") >= 4, F.sort_array(F.transform(
         F.sequence(F.lit(0), F.size("_q_words") - 3),
-        lambda i: F.struct(F.concat_ws(" ", at(i), at(i + 1), at(i + 2)).alias("g"), i.alias("i"))))).otherwise(
-            F.array().cast("array<struct<g:string,i:int>>"))
-    step2 = step1.withColumn("_q_grams", grams)
+        lambda i: F.shiftleft(F.xxhash64(at(i), at(i + 1), at(i + 2)), PLACE).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<long>"))
+    step2 = step1.withColumn("_q_packed", packed)
+    head = lambda i: F.shiftright(F.get(F.col("_q_packed"), i), PLACE)
+    twins = F.filter("_q_packed", lambda x, i: F.coalesce(F.shiftright(x, PLACE) == head(i + 1), F.lit(False))
+                     | F.coalesce(F.shiftright(x, PLACE) == head(i - 1), F.lit(False)))
+    places = F.transform(twins, lambda x: x.bitwiseAND((1 << PLACE) - 1).cast("int"))
+    step2 = step2.withColumn("_q_places", places)
+    step2 = step2.withColumn("_q_grams", F.sort_array(F.transform(
+        "_q_places", lambda i: F.struct(F.concat_ws(" ", at(i), at(i + 1), at(i + 2)).alias("g"), i.alias("i")))))
     gram = lambda i: F.get(F.col("_q_grams"), i)["g"]
     again = F.sort_array(F.transform(F.filter("_q_grams", lambda x, i: (x["g"] == F.coalesce(gram(i - 1), F.lit("")))
                                               | (x["g"] == F.coalesce(gram(i + 1), F.lit("")))), lambda x: x["i"]))
