@@ -72,7 +72,7 @@ CTE["filled_1"] = ffill_limit("aligned_w", 1)
 CTE["dense"] = sparse("filled")
 CTE["panel"] = ffill_bfill("dense")
 CTE["panel_m"] = ffill_bfill("aligned_m")
-CTE["numbered_m"] = f"select *, row_number() over ({WSYM}) as rn from panel_m"
+CTE["numbered_w"] = f"select *, row_number() over ({WSYM}) as rn from panel"
 CTE["known"] = f"""
   select symbol, date, (lag(close, 1) over ({WSYM}) / lag(close, 6) over ({WSYM}) - 1) * 100 as score from panel"""
 CTE["scores"] = """
@@ -541,8 +541,8 @@ check("A8_write_panel_by_feature", f"""select date, symbol, name as feature, {r(
          unnest([{', '.join(f'cast({n} as double)' for n in FT.FEATURES)}]) as v from features)""")
 check("E23_lag_ratio_factors", f"""
   select a.symbol, a.date, cast(g.lag as integer) as lag, {', '.join(r(f'b.{f} / nullif(a.{d}, 0)', f, 5) for f, d in _lags.items())}
-  from (select *, (high + low + close) / 3 as vwap from numbered_m) a cross join (select unnest(range(60)) as lag) g
-  left join (select *, (high + low + close) / 3 as vwap from numbered_m) b on b.symbol = a.symbol and b.rn = a.rn - g.lag""")
+  from (select *, (high + low + close) / 3 as vwap from numbered_w) a cross join (select unnest(range(60)) as lag) g
+  left join (select *, (high + low + close) / 3 as vwap from numbered_w) b on b.symbol = a.symbol and b.rn = a.rn - g.lag""")
 
 _D = "over (partition by date)"
 check("F1_cs_zscore", f"select symbol, date, " + ", ".join(

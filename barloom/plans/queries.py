@@ -373,7 +373,7 @@ def _(spark, sf):
 @query("E23_lag_ratio_factors", 5)
 def _(spark, sf):
     """Sixty lags of six fields, one row per lag."""
-    arrays = features.lag_ratio_factors(clean.ffill_bfill(V.aligned(spark, sf, "month")))
+    arrays = features.lag_ratio_factors(V.panel(spark, sf))
     fields = ["close", "open", "high", "low", "vwap", "volume"]
     rows = arrays.select("symbol", "date", F.posexplode(F.arrays_zip(*[f"{f}_lags" for f in fields])).alias("lag", "z"))
     return rows.select("symbol", "date", "lag", *[F.col(f"z.{f}_lags").alias(f) for f in fields])
@@ -549,9 +549,9 @@ def _(spark, sf):
 
 @query("H6_structural_embedding", 4)
 def _(spark, sf):
-    """Short walks and small vectors; one row per symbol with the length of its vector."""
+    """One row per symbol with the length of its vector."""
     edges, nodes = _links(spark, sf)
-    out = embedding.structural_embedding(edges, nodes, dims=16, walks=4, length=10)
+    out = embedding.structural_embedding(edges, nodes)
     return out.select("symbol", F.size("embedding").alias("dims"),
                       F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("length"))
 
