@@ -89,8 +89,8 @@ def test_score_windows_modes(spark):
     assert plain.agg(F.sum("x")).first()[0] == 72
     across = scoring.score_windows(df, lambda f: f.assign(x=f.x - f.x.mean()), "sample int, x double", "sample")
     assert abs(across.agg(F.sum("x")).first()[0]) < 1e-9
-    with pytest.raises(PySparkException):
-        scoring.score_windows(df, lambda f: f, "sample int, x double", "sample", max_group_rows=2).collect()
+    large = spark.range(150_000).selectExpr("1 as sample", "cast(id as double) as x")
+    assert scoring.score_windows(large, lambda f: f.assign(x=float(len(f))).head(1), "sample int, x double", "sample").first().x == 150_000
 
 
 def test_read_bars(spark, tmp_path):
