@@ -141,7 +141,7 @@ class Lattice:
             weights.append(theta * weight)
             places.append(place[found] + length)
         start, end, label, weight, place = map(np.concatenate, (starts, ends, labels, weights, places))
-        order = np.argsort((place << 32) + end)
+        order = np.argsort((place << 36) + (end << 5) + end - start)  # no two edges alike: the order is the lattice's own
         start, end, label, weight, place = (x[order] for x in (start, end, label, weight, place))
         alpha = np.zeros(n + len(units))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
@@ -152,7 +152,7 @@ class Lattice:
             sizes = np.diff(np.concatenate((group, [hi - lo])))
             alpha[end[lo:hi][group]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes)), group))
         self.log_share = alpha[start] + weight - alpha[end]
-        order = np.argsort(end)
+        order = np.argsort((end << 5) + end - start)
         self.start, self.end, self.label, self.log_share = (x[order] for x in (start, end, label, self.log_share))
         total = np.cumsum(np.exp(self.log_share))
         group = np.concatenate(([0], np.flatnonzero(np.diff(self.end)) + 1))
