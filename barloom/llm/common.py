@@ -67,15 +67,16 @@ def grow_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = cut_lineage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                        .filter("a <> b").distinct())
+    tasks = max(4, both.count() // 100_000)  # of a written round; few links need few files
     label = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                        .select("node", F.least("node", "m").alias("component")))
+                        .select("node", F.least("node", "m").alias("component")).coalesce(tasks))
     while True:
         near = (both.join(label, both.b == label.node).groupBy(F.col("a").alias("node"))
                 .agg(F.min("component").alias("near")))
         step = label.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
         up = step.select(F.col("node").alias("low"), F.col("low").alias("jump"))
         step = cut_lineage(step.join(up, "low", "left").select(
-            "node", F.col("component").alias("old"), F.least("low", F.coalesce("jump", "low")).alias("component")))
+            "node", F.col("component").alias("old"), F.least("low", F.coalesce("jump", "low")).alias("component")).coalesce(tasks))
         label = step.select("node", "component")
         if step.filter("old <> component").isEmpty():
             break

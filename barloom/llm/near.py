@@ -9,11 +9,10 @@ fewer words: the whole sequence as one shingle; no words: empty, linked with not
 2. A class has BANDS x ROWS MinHash values. A pair at similarity 0.75 shares none of the bands with a chance of
    (1 - 0.75^5)^48 = 2e-6. The values are also folded into an odd sketch: each value flips one of BITS parity bits, so
    the XOR of two sketches counts, by its population count, the values in which the two differ.
-3. Buckets (equal band) are worked off without listing their pairs: every class is compared with one leader, links are
-   grown to components, and only buckets which then still hold several components go on: first each class against the
-   leaders of other components, then everything outside a bucket's largest component against the bucket, each class with the
-   partner of the closest sketch. The last step does the same with all partners and leaves no pair of different
-   components in a common bucket uncompared.
+3. Buckets (equal band) are worked off without listing their pairs: every class is compared with its closest leader, links are
+   grown to components, and only buckets which then still hold several components go on: everything outside a bucket's
+   largest component against the bucket, first each class with the partner of the closest sketch, then with all partners. The
+   last step leaves no pair of different components in a common bucket uncompared.
 4. Each comparison first looks at the sketches in the JVM. A pair estimated below 0.5, six standard deviations under the
    threshold, is dropped. A second odd sketch folds the whole set: its XOR has at most as many bits as the sets have
    shingles that only one of them holds, so a count above a seventh of both sizes proves a similarity under 0.75 (no loss).
@@ -206,15 +205,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     sketches = cut_lineage(classes.select("node", "sketch", "n_shingles").join(wanted, "node", "left_semi"))
     sets = cut_lineage(full_sets(docs, wanted))
 
-    first = members.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b")).filter("a <> b")
-    links = cut_lineage(confirm(_promising_pairs(first, sketches), sets))
+    leaders = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
+    links = cut_lineage(confirm(cut_lineage(_promising_pairs(leaders, sketches)), sets))
     found = cut_lineage(grow_components(wanted, links))
 
-    for step in ("leaders", "closest", "all"):
+    for step in ("closest", "all"):
         mixed = _mixed_buckets(members, found)
         if mixed.isEmpty():
             break
-        pairs = _promising_pairs(_leader_pairs(mixed), sketches) if step == "leaders" else _remaining_pairs(mixed, sketches, step == "closest")
+        pairs = _remaining_pairs(mixed, sketches, step == "closest")
         links = cut_lineage(links.union(confirm(cut_lineage(pairs), sets)))
         found = cut_lineage(grow_components(wanted, links))
 
@@ -236,13 +235,6 @@ def _mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     return cut_lineage(now.join(ends, "key"))
 
 
-def _leader_pairs(mixed: DataFrame) -> DataFrame:
-    """Each class against the leaders of another component: at most two pairs a class and bucket."""
-    ends = F.explode(F.array("low", "high"))
-    return (mixed.select("node", "component", ends.alias("end")).filter("component <> end.component")
-            .select(F.col("node").alias("a"), F.col("end.node").alias("b")).distinct())
-
-
 def _promising_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of each class's pairs the promising one with the closest sketch."""
     close = sketched(sketched(pairs, sketches, "a"), sketches, "b").filter(promising("a", "b"))
