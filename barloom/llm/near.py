@@ -11,8 +11,8 @@ fewer words: the whole sequence as one shingle; no words: empty, linked with not
    the XOR of two sketches counts, by its population count, the values in which the two differ.
 3. Buckets (equal band) are worked off without listing their pairs: every class is compared with its closest leader, links are
    grown to components, and only buckets which then still hold several components go on: everything outside a bucket's
-   largest component against the bucket, first each class with the partner of the closest sketch, then with all partners. The
-   last step leaves no pair of different components in a common bucket uncompared.
+   largest component against the bucket, first each class with the closest of PARTNERS members of each component, then with
+   all members. The last step leaves no pair of different components in a common bucket uncompared.
 4. Each comparison first looks at the sketches in the JVM. A pair estimated below 0.5, six standard deviations under the
    threshold, is dropped. A second odd sketch folds the whole set: its XOR has at most as many bits as the sets have
    shingles that only one of them holds, so a count above a seventh of both sizes proves a similarity under 0.75 (no loss).
@@ -31,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from barloom.llm.common import cut_lineage, grow_components
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
 BITS = 1024
+#: members of a component that stand for it in a bucket in the first of the last two steps
+PARTNERS = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -185,7 +187,8 @@ def apart(a: str, b: str, lo: int) -> Column:
 
 def sketched(rows: DataFrame, sketches: DataFrame, side: str) -> DataFrame:
     """Rows with the sketch and size of the class in column ``side``."""
-    return rows.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
+    return rows.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("n_shingles").alias(f"n_{side}"),
+                                     F.col("bands").alias(f"bands_{side}")), side)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,11 +201,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, node (class, null without words), n_shingles, component_id, kept."""
     rows = cut_lineage(sketch_documents(docs))
     classes = rows.filter("node is not null").dropDuplicates(["node"])
-    keyed = classes.select("node", F.explode("bands").alias("key"))
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
     members = cut_lineage(keyed.join(cut_lineage(shared), "key"))
     wanted = cut_lineage(members.select("node").distinct())
-    sketches = cut_lineage(classes.select("node", "sketch", "n_shingles").join(wanted, "node", "left_semi"))
+    sketches = cut_lineage(classes.select("node", "sketch", "n_shingles", "bands").join(wanted, "node", "left_semi"))
     sets = cut_lineage(full_sets(docs, wanted))
 
     leaders = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
@@ -229,7 +232,7 @@ def near_components(docs: DataFrame) -> DataFrame:
 def _mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members (key, node, component) of buckets that hold several components, with the bucket's lowest and highest
     component (low, high) and one class of each."""
-    now = members.select("key", "node").join(found, "node")
+    now = members.select("key", "band", "node").join(found, "node")
     ends = now.groupBy("key").agg(F.min(F.struct("component", "node")).alias("low"), F.max(F.struct("component", "node")).alias("high"))
     ends = cut_lineage(ends.filter("low.component <> high.component"))
     return cut_lineage(now.join(ends, "key"))
@@ -247,12 +250,17 @@ def _remaining_pairs(mixed: DataFrame, sketches: DataFrame, closest: bool) -> Da
     are compared inside the join: pairs they rule out are never rows."""
     sizes = mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    rows = mixed.select("key", "node", "component").join(cut_lineage(largest), "key")
-    few = rows.filter("component <> main").select("key", F.col("node").alias("p"), F.col("component").alias("pc"))
+    rows = mixed.select("key", "band", "node", "component").join(cut_lineage(largest), "key")
+    few = rows.filter("component <> main").select("key", "band", F.col("node").alias("p"), F.col("component").alias("pc"))
     many = rows.select("key", F.col("node").alias("q"), F.col("component").alias("qc"), "main")
+    if closest:
+        nth = F.row_number().over(Window.partitionBy("key", "qc").orderBy(F.xxhash64("q"), "q"))
+        many = many.withColumn("nth", nth).filter(F.col("nth") <= PARTNERS).drop("nth")
     few, many = cut_lineage(sketched(few, sketches, "p")), cut_lineage(sketched(many, sketches, "q"))
     other = (F.col("pc") != F.col("qc")) & ((F.col("qc") == F.col("main")) | (F.col("p") < F.col("q")))
-    found = few.join(many.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other & promising("p", "q"))
+    # a pair counts in the first band that both share, once
+    first = F.array_position(F.zip_with("bands_p", "bands_q", lambda x, y: x == y), True) == F.col("band") + 1
+    found = few.join(many.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other & promising("p", "q") & (F.lit(closest) | first))
     if closest:
         return found.groupBy(F.col("p").alias("a")).agg(F.min_by("q", apart("p", "q", 0)).alias("b"))
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
