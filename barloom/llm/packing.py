@@ -13,11 +13,11 @@ Null and repeated doc_ids are packed row by row like others.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,7 +27,7 @@ LIMIT = 2048
 SLACK = 16
 FAN = 4
 OPEN = 50_000
-CACHE = 300_000
+CACHE = 800_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -48,12 +48,14 @@ def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     def encode(texts: list[str]) -> list[bytes]:
         # separators that str.split knows and the tokenizer does not count as white space stay inside a text
         split = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else [t] for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        fresh = [w for w in {w for words in split for w in words} if w not in known]
+        fresh = list({w for words in split for w in words if w not in known})
         for w, e in zip(fresh, library.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > CACHE:  # the words met first, among them the frequent ones, stay
+            for w in fresh:
+                del known[w]
+        return out
 
     return encode
 
