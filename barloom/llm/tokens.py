@@ -30,8 +30,8 @@ CHUNK = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 SPACE = regex.compile(rf"[{WHITE}]*")
 SHORT = 48
 #: entries a task keeps at most: words met, prefix states, pairs of tokens
-WORDS = 400_000
-STATES = 200_000
+WORDS = 800_000
+STATES = 400_000
 _counters: dict[str, "PrefixCounter"] = {}
 
 
