@@ -1,14 +1,18 @@
-"""Best-fit packing of tokenized documents into sequences of at most LIMIT tokens, by residual merging.
+"""Best-fit packing of tokenized documents into sequences of at most LIMIT tokens: best fit over all pieces of the table.
 
-1. Each task tokenizes its documents and cuts those over the limit into full pieces and a rest; full pieces are
-   sequences already. The rest of the task's pieces is packed best-fit, longest first. Bins short of the limit by at most
-   SLACK tokens are closed.
-2. Underfull bins become items. They are sent to a quarter as many tasks, packed best-fit as wholes, and the nearly full
-   ones closed; this repeats up the tree until one task is left. Bins less than half full go in as single pieces, which fit
-   better. A task hands on its OPEN emptiest bins at most and closes the others, so no task sees more than FAN * OPEN items.
+1. Each task tokenizes its documents and cuts those over the limit into full pieces and a rest. A piece gets its number among the
+   task's pieces of the same length.
+2. Pieces are counted by length: at most LIMIT lengths, whatever the table. Best fit, longest first, needs no more than these counts,
+   because pieces of one length and sequences with one room are interchangeable: ``plan`` lays out runs of equal sequences.
+3. A piece's rank among all of its length (its number and the counts of the tasks before) gives its sequence and offset by the plan.
 
-A sequence's number holds its level, task and number in the task. Null text counts as empty: one piece with the end token alone.
-Null and repeated doc_ids are packed row by row like others.
+No sequence is closed for its rank or task, nothing goes to one task, and no piece but its length travels to the driver. The plan is
+the same as best fit, longest first, over one list of all lengths. It has a bounded number of runs: a length splits at most one run
+of equal sequences, into three; every other run it meets is filled as a whole, which more than halves its room. So there are at most
+3 * LIMIT * (1 + log2(LIMIT)), some 74,000, in practice a few thousand.
+
+Sequences are numbered from 0. Null text counts as empty: one piece with the end token alone. Null and repeated doc_ids are packed row
+by row like others.
 """
 
 from __future__ import annotations
@@ -16,17 +20,18 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.llm.common import arrow_rows, cut_lineage
+from barloom.llm.common import arrow_rows, arrow_schema, cut_lineage
 
 LIMIT = 2048
-SLACK = 16
-FAN = 4
-OPEN = 50_000
+#: bits of a rank behind the length
+RANK = 40
 CACHE = 800_000
 _tokenizers: dict[str, object] = {}
 
@@ -60,35 +65,63 @@ def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+Run = tuple[int, int, int, int, int, int]
+
+
+def plan(counts: dict[int, int], limit: int = LIMIT) -> list[Run]:
+    """Best fit, longest first, each into the fullest sequence it fits, for so many pieces of each length.
+
+    Runs (length, first rank, end rank, pieces per sequence, first sequence, offset in it), ordered by length and rank.
+    """
+    rooms: list[tuple[int, int, int]] = []  # room, first sequence, number of sequences
+    runs, opened = [], 0
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            k = bisect_left(rooms, (size, -1, -1))
+            if k < len(rooms):
+                room, first, n = rooms.pop(k)
+            else:
+                room, first, n = limit, opened, -(-left // (limit // size))
+                opened += n
+            # a sequence that took one piece is the fullest again until it is too full
+            per = room // size
+            for take, each in ((min(n, left // per), per), (1, left % per)):
+                if take and each and n and left:
+                    runs.append((size, rank, rank + take * each, each, first, limit - room))
+                    if room > each * size:
+                        insort(rooms, (room - each * size, first, take))
+                    rank, left, first, n = rank + take * each, left - take * each, first + take, n - take
+            if n:
+                insort(rooms, (room, first, n))
+    return sorted(runs)
+
+
 def best_fit(sizes: list[int], limit: int = LIMIT) -> list[list[int]]:
-    """Bins (lists of item numbers), longest items first, each into the fullest bin it fits."""
-    room: list[tuple[int, int]] = []
-    bins: list[list[int]] = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        k = bisect_left(room, (sizes[i], -1))
-        if k == len(room):
-            bins.append([i])
-            left, b = limit - sizes[i], len(bins) - 1
-        else:
-            left, b = room.pop(k)
-            bins[b].append(i)
-            left -= sizes[i]
-        if left > 0:
-            insort(room, (left, b))
-    return bins
-
-
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at int, size int, closed boolean"
+    """Bins (lists of item numbers) of one list of sizes, by the plan."""
+    ranks: dict[int, list[int]] = {}
+    for i, size in enumerate(sizes):
+        ranks.setdefault(size, []).append(i)
+    bins: dict[int, list[int]] = {}
+    for size, low, high, each, first, _ in plan(Counter(sizes), limit):
+        for k in range(high - low):
+            bins.setdefault(first + k // each, []).append(ranks[size][low + k])
+    return [bins[b] for b in sorted(bins)]
+
+
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def tokenized(path: str, limit: int) -> Callable:
-    """Task function: pieces with their first bin. Bins of this round are (task << 32) + number."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: pieces with their number among the task's pieces of the same length."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = word_tokenizer(path)
-        task = TaskContext.get().partitionId() << 32
-        done, open_, number = [], [], 0
+        task = TaskContext.get().partitionId()
+        done: list[tuple] = []
+        counts: Counter[int] = Counter()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo in range(0, len(texts), 256):
@@ -97,70 +130,42 @@ def tokenized(path: str, limit: int) -> Callable:
                     ids += b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(ids), 4 * limit)):
                         piece = ids[start:start + 4 * limit]
-                        row = (doc, k, start // 4, len(piece) // 4, zlib.crc32(piece))
-                        if len(piece) == 4 * limit:
-                            done.append((*row, task + number, 0, limit, True))
-                            number += 1
-                        else:
-                            open_.append(row)
-            if len(done) > 20_000:
-                yield arrow_rows(PIECES, done)
-                done = []
-        for members in best_fit([r[3] for r in open_], limit):
-            size, at = sum(open_[i][3] for i in members), 0
-            for i in members:
-                done.append((*open_[i], task + number, at, size, size >= limit - SLACK))
-                at += open_[i][3]
-            number += 1
-        for lo in range(0, len(done), 20_000):
-            yield arrow_rows(PIECES, done[lo:lo + 20_000])
-
-    return pack
-
-
-def merged(limit: int, level: int) -> Callable:
-    """Task function: the open bins of a task as items, packed anew; bins less than half full go in as single pieces."""
-    names = [f.split()[0] for f in PIECES.split(", ")]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = (level << 56) + (TaskContext.get().partitionId() << 32)
-        whole: dict[int, list[dict]] = {}
+                        n = len(piece) // 4
+                        done.append((doc, k, start // 4, n, zlib.crc32(piece), task, counts[n]))
+                        counts[n] += 1
+                if len(done) > 20_000:
+                    yield arrow_rows(PIECES, done)
+                    done = []
+        if done:
+            yield arrow_rows(PIECES, done)
+
+    return cut
+
+
+def placed(runs: list[Run]) -> Callable:
+    """Task function: pieces with column rank to their sequences and offsets."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, low, _, each, first, at = np.array(runs, np.int64).reshape(-1, 6).T
+        keys = (size << RANK) + low
         for batch in batches:
-            for row in batch.to_pylist():
-                whole.setdefault(row["bin"], []).append(row)
-        items = []
-        for _, rows in sorted(whole.items()):
-            rows.sort(key=lambda r: r["at"])
-            items += [rows] if 2 * rows[0]["size"] >= limit else [[r] for r in rows]
-        sizes = [sum(r["length"] for r in rows) for rows in items]
-        bins = best_fit(sizes, limit)
-        filled = [sum(sizes[i] for i in members) for members in bins]
-        # a task hands on its OPEN emptiest bins at most, so that a task further up has a bounded number of items
-        open_ = set(sorted((b for b in range(len(bins)) if filled[b] < limit - SLACK), key=lambda b: (filled[b], b))[:OPEN])
-        out = []
-        for b, members in enumerate(bins):
-            at = 0
-            for r in (r for i in members for r in items[i]):
-                out.append((*(r[n] for n in names[:5]), first + b, at, filled[b], b not in open_))
-                at += r["length"]
-        for lo in range(0, len(out), 20_000):
-            yield arrow_rows(PIECES, out[lo:lo + 20_000])
-
-    return pack
+            if not batch.num_rows:
+                continue
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            run = np.searchsorted(keys, (length << RANK) + rank, "right") - 1
+            nth = rank - low[run]
+            columns = [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")),
+                       pa.array(first[run] + nth // each[run]), pa.array(at[run] + nth % each[run] * length)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema(PLACED))
+
+    return place
 
 
 def packed(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. The tree has log(tasks) / log(FAN) levels; each
-    is written, so a lost executor replays one level."""
-    now = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenized(path, limit), PIECES))
-    done, rest, level = now.filter("closed"), now.filter("not closed"), 0
-    tasks = 1 + (now.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0)
-    while tasks > 1:
-        tasks, level = -(-tasks // FAN), level + 1
-        group = F.shiftright("bin", 32).bitwiseAND(0xFFFFFF) % tasks
-        now = cut_lineage(rest.repartition(tasks, group).mapInArrow(merged(limit, level), PIECES))
-        done, rest = done.union(now.filter("closed")), now.filter("not closed")
-    return done.union(rest).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"),
-                                   F.col("at").cast("long").alias("offset"))
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    pieces = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenized(path, limit), PIECES))
+    counts = cut_lineage(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")))
+    runs = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limit)  # at most limit rows
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))  # a row per task
+    ranked = pieces.join(counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("before")), ["length", "task"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(placed(runs), PLACED)

@@ -73,6 +73,39 @@ def test_best_fit_takes_the_fullest_bin():
     assert sorted(sorted(b) for b in bins) == [[0, 2], [1, 3, 4]]
 
 
+def test_plan_is_best_fit_over_all_pieces():
+    """Short texts in some tasks, long ones in others, more than any task holds: every one meets its partner."""
+    n = 200_000
+    assert sum(high - low for _, low, high, *_ in packing.plan({1100: n, 900: n, 48: n})) == 3 * n
+    assert len({first + k for _, low, high, each, first, _ in packing.plan({1100: n, 900: n, 48: n}) for k in range(0, (high - low) // each)}) == n
+    r = random.Random(6)
+    for _ in range(300):
+        limit = r.randint(4, 60)
+        sizes = [r.randint(1, limit) for _ in range(r.randint(0, 200))]
+        rooms = []
+        for s in sorted(sizes, reverse=True):
+            fits = [x for x in rooms if x >= s]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else limit) - s)
+        bins = packing.best_fit(sizes, limit)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert sorted(limit - sum(sizes[i] for i in b) for b in bins) == sorted(rooms)
+        runs = packing.plan(Counter(sizes), limit)
+        spans = sorted((first + k, at + j * s, s) for s, low, high, each, first, at in runs for k in range((high - low) // each) for j in range(each))
+        assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(spans, spans[1:]))
+
+
+def test_partners_in_other_files_meet(spark):
+    """Texts of 1,100 tokens in one file and of 947 in another fill sequences together, as many files as there are."""
+    long, short = "the " * 1099, "the " * 946
+    docs = spark.createDataFrame([(i, long if i < 60 else short) for i in range(120)], "doc_id long, text string").repartitionByRange(12, "doc_id")
+    rows = packing.packed(docs, WORDS).collect()
+    assert Counter(r.length for r in rows) == {1100: 60, 947: 60}
+    assert Counter(Counter(r.sequence_id for r in rows).values()) == {2: 60}
+    assert Counter((r.length, r.offset) for r in rows) == {(1100, 0): 60, (947, 1100): 60}
+
+
 def test_word_ids_with_odd_separators():
     from tokenizers import Tokenizer
 
