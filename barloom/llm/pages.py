@@ -3,9 +3,10 @@
 1. Each page becomes a tree of its block elements (label: tag and class words) with a hash of each block's own text.
 2. Per host the page with the lowest hash is the pivot. Every page of the host is aligned with it by simple tree matching (the
    largest order-preserving mapping of equally labelled nodes, by dynamic programming over child lists). For each pivot
-   node the pages in which it is matched, and those where its text is the same, are counted over all pages of the host.
-3. A node matched in at least SUPPORT pages whose text is the same in a share CONSTANT of them is template; the other nodes are
-   slots. The pivot with its template nodes is the host's wrapper.
+   node the pages where it is matched with the same text are counted over the host's distinct pages: pages of a host with
+   the same extracted text (one article under many urls, whatever its scripts and menus) count once.
+3. A node whose text is the same in at least SUPPORT of the distinct pages and in a share CONSTANT of all of them is template; the
+   other nodes are slots. The pivot with its template nodes is the host's wrapper.
 4. Every page is aligned with its host's wrapper. Its text is what stands in slots, inside the article (or main element)
    where the page marks one, without elements whose tag, role or class names them as menus, headers, footers, sidebars,
    notices, adverts, forms or reader comments. Varying slots made of links alone are no content. Pages without a
@@ -19,6 +20,7 @@ pages join wrappers by a join that can be split.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -276,11 +278,19 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
     return out
 
 
+BONES = "host string, content binary, skeleton binary"
+
+
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(h, p, Page(s).skeleton()) for h, p, s in zip(*(batch.column(c).to_pylist() for c in ("host", "rank", "html")))]
+        rows = []
+        for host, source in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
+            page = Page(source)
+            bones = page.skeleton()
+            text = page.text(set()).encode("utf-8", "surrogatepass")
+            rows.append((host, hashlib.blake2b(text, digest_size=16).digest(), bones))
         if rows:
-            yield arrow_rows("host string, rank long, skeleton binary", rows)
+            yield arrow_rows(BONES, rows)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,23 +301,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pivots[host] = Tree(pivot, shapes)
             own, other = pivots[host], Tree(skeleton, shapes)
             for i, j in match(own, other):
-                if own.own[i]:
-                    entry = sums.setdefault((host, i), [0, 0])
-                    entry[0] += 1
-                    entry[1] += own.own[i] == other.own[j]
+                if own.own[i] and own.own[i] == other.own[j]:
+                    sums[host, i] = sums.get((host, i), 0) + 1
         if sums:
-            yield arrow_rows("host string, place int, pages long, same long", [(h, i, *v) for (h, i), v in sums.items()])
+            yield arrow_rows("host string, place int, same long", [(h, i, n) for (h, i), n in sums.items()])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """One row per host: host, the pivot's skeleton and its template nodes."""
-    rows = pages.select("host", F.xxhash64("page_id", "url").alias("rank"), "html").filter("host is not null and html is not null")
-    bones = rows.mapInArrow(_skeletons, "host string, rank long, skeleton binary")
-    pivot = cut_lineage(bones.groupBy("host").agg(F.min(F.struct("rank", "skeleton"))["skeleton"].alias("pivot"), F.count(F.lit(1)).alias("n"))
-                        .filter(F.col("n") >= SUPPORT).select("host", "pivot"))
-    counts = bones.join(pivot, "host").mapInArrow(_counts, "host string, place int, pages long, same long")
-    fixed = counts.groupBy("host", "place").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    fixed = fixed.filter((F.col("pages") >= SUPPORT) & (F.col("same") >= CONSTANT * F.col("pages")))
+    rows = pages.select("host", "html").filter("host is not null and html is not null")
+    bones = rows.mapInArrow(_skeletons, BONES)
+    bones = cut_lineage(bones.groupBy("host", "content").agg(F.min("skeleton").alias("skeleton")))
+    pivot = cut_lineage(bones.groupBy("host").agg(F.min_by("skeleton", "content").alias("pivot"), F.count(F.lit(1)).alias("n"))
+                        .filter(F.col("n") >= SUPPORT))
+    counts = bones.join(pivot, "host").mapInArrow(_counts, "host string, place int, same long")
+    fixed = counts.groupBy("host", "place").agg(F.sum("same").alias("same")).join(pivot.select("host", "n"), "host")
+    fixed = fixed.filter((F.col("same") >= SUPPORT) & (F.col("same") >= CONSTANT * F.col("n")))
     return pivot.join(fixed.groupBy("host").agg(F.collect_list("place").alias("template")), "host").select("host", "pivot", "template")
 
 

@@ -221,3 +221,17 @@ def test_template_inside_articles_goes(spark):
     assert all(got[i] == f"t{i}\ntext {i} is new" for i in range(24))
     assert got[99] == "t99\nSign here\ntext 99 is new" and got[100] == "t100\nSign here\ntext 100 is new" and got[101] == got[102] == ""
     assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_copies_are_no_template(spark):
+    """Copies of one article on a host, whatever their scripts, count once: it is kept, and what all articles share goes."""
+    page = "<script>track({0})</script><body><article><h1>t{1}</h1><div class=x>Sign here</div>{2}</article></body>"
+    long = "".join(f"<p>part {k} of it</p>" for k in range(30))
+    rows = [(i, f"http://a.org/1?track={i}", page.format(i, 0, long)) for i in range(300)] + [(i, f"http://a.org/{i}", page.format(i, i, f"<p>text {i}</p>")) for i in range(300, 312)]
+    got = extracted(spark, rows)
+    assert all(got[i] == "\n".join(["t0", *(f"part {k} of it" for k in range(30))]) for i in range(300))
+    assert all(got[i] == f"t{i}\ntext {i}" for i in range(300, 312))
