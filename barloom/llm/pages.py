@@ -1,16 +1,18 @@
 """Main text of web pages by wrapper induction.
 
 1. Each page becomes a tree of its block elements (label: tag and class words) with a hash of each block's own text.
-2. Per host the page with the lowest hash is the pivot. Every page of the host is aligned with it by simple tree matching (the
-   largest order-preserving mapping of equally labelled nodes, by dynamic programming over child lists). For each pivot
-   node the pages where it is matched with the same text are counted over the host's distinct pages: pages of a host with
-   the same extracted text (one article under many urls, whatever its scripts and menus) count once.
+2. The pages of a host are parted by layout: the tags and class words of the frame around the article (main element, heading,
+   first paragraph). Per host and layout the pages with the PIVOTS lowest hashes are pivots. Every page is aligned with them by simple tree
+   matching (the largest order-preserving mapping of equally labelled nodes, by dynamic programming over child lists). For each
+   pivot node the pages where it is matched with the same text are counted over the distinct pages: pages of a layout with the same
+   extracted text (one article under many urls, whatever its scripts and menus) count once, blank pages do not count.
 3. A node whose text is the same in at least SUPPORT of the distinct pages and in a share CONSTANT of all of them is template; the
-   other nodes are slots. The pivot with its template nodes is the host's wrapper.
-4. Every page is aligned with its host's wrapper. Its text is what stands in slots, inside the article (or main element)
+   other nodes are slots. The pivots with their template nodes are the wrapper. What recurs but is absent from one pivot is found in
+   another: a node of CONSTANT of the pages is missing from all of them once in a thousand times.
+4. Every page is aligned with the wrapper of its host and layout. Its text is what stands in slots, inside the article (or main element)
    where the page marks one, without elements whose tag, role or class names them as menus, headers, footers, sidebars,
    notices, adverts, forms or reader comments. Varying slots made of links alone are no content. Pages without a
-   wrapper (few pages of the host, no host) are judged by their own markup.
+   wrapper (under SUPPORT distinct pages of the host and layout, no host) are judged by their own markup.
 
 Text: character references decoded, white space inside a block made one space, blocks joined by a line feed, in page
 order. A line break is white space. Null pages are empty. The work per page is linear but for the alignment; child lists whose
@@ -29,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from barloom.llm.common import arrow_rows, cut_lineage
 
 SUPPORT = 10
 CONSTANT = 0.9
+PIVOTS = 3
 CELLS = 250_000
 DEPTH = 60
 TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z])[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
@@ -278,7 +281,23 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
     return out
 
 
-BONES = "host string, content binary, skeleton binary"
+#: where the frame of a page ends, the surest sign first
+CONTENT = [re.compile(f"<(?:{tags})(?![a-z0-9-])", re.I) for tags in ("article|main", "h1", "p")]
+BLANK = hashlib.blake2b(b"", digest_size=16).digest()
+BONES = "host string, layout long, content binary, skeleton binary"
+
+
+def layout(source: str) -> int:
+    """Hash of the labels around the first sign of content: root, body and the containers down to it."""
+    m = next((m for m in (c.search(source) for c in CONTENT) if m), None)
+    if not m:
+        return 0
+    frame = Page(source[:m.end()] + ">")
+    path, i = [], frame.parent[-1]
+    while i > 0:
+        path.append(frame.label[i])
+        i = frame.parent[i]
+    return zlib.crc32("/".join(path).encode("utf-8", "surrogatepass"))
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,57 +307,64 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source)
             bones = page.skeleton()
             text = page.text(set()).encode("utf-8", "surrogatepass")
-            rows.append((host, hashlib.blake2b(text, digest_size=16).digest(), bones))
+            rows.append((host, layout(source), hashlib.blake2b(text, digest_size=16).digest(), bones))
         if rows:
             yield arrow_rows(BONES, rows)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shapes, pivots, sums = {}, {}, {}
-        for host, skeleton, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "skeleton", "pivot"))):
-            if host not in pivots:
-                pivots[host] = Tree(pivot, shapes)
-            own, other = pivots[host], Tree(skeleton, shapes)
-            for i, j in match(own, other):
-                if own.own[i] and own.own[i] == other.own[j]:
-                    sums[host, i] = sums.get((host, i), 0) + 1
+        shapes, trees, sums = {}, {}, {}
+        for host, kind, skeleton, pivots in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "skeleton", "pivots"))):
+            if (host, kind) not in trees:
+                trees[host, kind] = [Tree(p, shapes) for p in pivots]
+            other = Tree(skeleton, shapes)
+            for k, own in enumerate(trees[host, kind]):
+                for i, j in match(own, other):
+                    if own.own[i] and own.own[i] == other.own[j]:
+                        key = (host, kind, (k << 32) + i)
+                        sums[key] = sums.get(key, 0) + 1
         if sums:
-            yield arrow_rows("host string, place int, same long", [(h, i, n) for (h, i), n in sums.items()])
+            yield arrow_rows("host string, layout long, place long, same long", [(*key, n) for key, n in sums.items()])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """One row per host: host, the pivot's skeleton and its template nodes."""
+    """One row per host and layout: host, layout, the pivots' skeletons and their template nodes ((pivot << 32) + node)."""
+    group = ["host", "layout"]
     rows = pages.select("host", "html").filter("host is not null and html is not null")
-    bones = rows.mapInArrow(_skeletons, BONES)
-    bones = cut_lineage(bones.groupBy("host", "content").agg(F.min("skeleton").alias("skeleton")))
-    pivot = cut_lineage(bones.groupBy("host").agg(F.min_by("skeleton", "content").alias("pivot"), F.count(F.lit(1)).alias("n"))
-                        .filter(F.col("n") >= SUPPORT))
-    counts = bones.join(pivot, "host").mapInArrow(_counts, "host string, place int, same long")
-    fixed = counts.groupBy("host", "place").agg(F.sum("same").alias("same")).join(pivot.select("host", "n"), "host")
+    bones = rows.mapInArrow(_skeletons, BONES).filter(F.col("content") != F.lit(BLANK))
+    bones = cut_lineage(bones.groupBy(*group, "content").agg(F.min("skeleton").alias("skeleton")))
+    sizes = bones.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SUPPORT)
+    first = F.row_number().over(Window.partitionBy(*group).orderBy("content"))  # pruned per task before the exchange
+    lowest = bones.withColumn("k", first).filter(F.col("k") <= PIVOTS)
+    pivots = cut_lineage(lowest.groupBy(*group).agg(F.sort_array(F.collect_list("skeleton")).alias("pivots")).join(sizes, group))
+    counts = bones.join(pivots, group).mapInArrow(_counts, "host string, layout long, place long, same long")
+    fixed = counts.groupBy(*group, "place").agg(F.sum("same").alias("same")).join(pivots.select(*group, "n"), group)
     fixed = fixed.filter((F.col("same") >= SUPPORT) & (F.col("same") >= CONSTANT * F.col("n")))
-    return pivot.join(fixed.groupBy("host").agg(F.collect_list("place").alias("template")), "host").select("host", "pivot", "template")
+    return pivots.join(fixed.groupBy(*group).agg(F.collect_list("place").alias("template")), group).select(*group, "pivots", "template")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(3)
     for batch in batches:
-        z = [pack.compress((s or "").encode("utf-8", "surrogatepass")) for s in batch.column("html").to_pylist()]
-        yield batch.select(["page_id", "url", "host"]).append_column("z", pa.array(z, pa.binary()))
+        sources = [s or "" for s in batch.column("html").to_pylist()]
+        z = [pack.compress(s.encode("utf-8", "surrogatepass")) for s in sources]
+        kinds = pa.array([layout(s) for s in sources], pa.int64())
+        yield batch.select(["page_id", "url", "host"]).append_column("layout", kinds).append_column("z", pa.array(z, pa.binary()))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        shapes, pivots, texts = {}, {}, []
-        for host, z, pivot, places in zip(*(batch.column(c).to_pylist() for c in ("host", "z", "pivot", "template"))):
+        shapes, trees, texts = {}, {}, []
+        for host, kind, z, pivots, places in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "z", "pivots", "template"))):
             page, template = Page(unpack.decompress(z).decode("utf-8", "surrogatepass")), set()
             if places:
-                if host not in pivots:
-                    pivots[host] = (Tree(pivot, shapes), set(places))
-                own, fixed = pivots[host]
+                if (host, kind) not in trees:
+                    trees[host, kind] = ([Tree(p, shapes) for p in pivots], set(places))
+                own, fixed = trees[host, kind]
                 other = Tree(page.skeleton(), shapes)
-                template = {j for i, j in match(own, other) if i in fixed and own.own[i] == other.own[j]}
+                template = {j for k, tree in enumerate(own) for i, j in match(tree, other) if (k << 32) + i in fixed and tree.own[i] == other.own[j]}
             texts.append(page.text(template))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                                           pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -348,6 +374,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     host = F.nullif(F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), "html")
-    kind = T.StructType([*[rows.schema[c] for c in ("page_id", "url", "host")], T.StructField("z", T.BinaryType())])
-    joined = rows.mapInArrow(_packed, kind).join(cut_lineage(wrappers(rows)), "host", "left")
+    kind = T.StructType([*[rows.schema[c] for c in ("page_id", "url", "host")], T.StructField("layout", T.LongType()), T.StructField("z", T.BinaryType())])
+    joined = rows.mapInArrow(_packed, kind).join(cut_lineage(wrappers(rows)), ["host", "layout"], "left")
     return joined.mapInArrow(_extracted, T.StructType([rows.schema["page_id"], rows.schema["url"], *T._parse_datatype_string("text string, n_chars long").fields]))

@@ -235,3 +235,13 @@ def test_copies_are_no_template(spark):
     got = extracted(spark, rows)
     assert all(got[i] == "\n".join(["t0", *(f"part {k} of it" for k in range(30))]) for i in range(300))
     assert all(got[i] == f"t{i}\ntext {i}" for i in range(300, 312))
+
+
+def test_each_layout_has_a_wrapper(spark):
+    """Two layouts of a host, blank and error pages, and a notice that some pages lack."""
+    page = "<body class={0}><div class=wrap>{2}<h1>t{1}</h1><p>text {1} is new</p><div class=x>Sign here</div></div></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(("home", "single")[i % 2], i, "<div class=y>Now open</div>" if i not in (6, 7) else "")) for i in range(60)]
+    rows += [(i, f"http://a.org/{i}", "" if i % 2 else "<body><p>Error 404</p></body>") for i in range(60, 100)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"t{i}\ntext {i} is new" for i in range(60))
+    assert all(got[i] == ("" if i % 2 else "Error 404") for i in range(60, 100))
