@@ -15,8 +15,9 @@
    wrapper (under SUPPORT distinct pages of the host and layout, no host) are judged by their own markup.
 
 Text: character references decoded, white space inside a block made one space, blocks joined by a line feed, in page
-order. A line break is white space. Null pages are empty. The work per page is linear but for the alignment; child lists whose
-table would exceed CELLS cells are matched in order. A hot host is no hot task: counts are combined before the exchange, and
+order. A line break is white space. Null pages are empty. The work per page is linear but for the alignment. Child lists of any length are
+matched alike; where their table would exceed CELLS cells, equal ends are paired first and the rest is halved (Hirschberg), row by
+row in linear memory. Of the largest mappings of two child lists the one with most equal texts is taken. A hot host is no hot task: counts are combined before the exchange, and
 pages join wrappers by a join that can be split.
 """
 
@@ -39,6 +40,8 @@ SUPPORT = 10
 CONSTANT = 0.9
 PIVOTS = 3
 CELLS = 250_000
+#: a matched node counts as so many equal texts
+NODE = 1 << 24
 DEPTH = 60
 TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z])[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
                  r"|<([a-zA-Z][^\s/>]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?=>)|[^>]*)>?", re.S)
@@ -239,45 +242,74 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
             return 1
         key = (a.shape[i], b.shape[j])
         if key not in known:
-            known[key] = 1 + table(ka, kb)[-1][-1]
+            known[key] = 1 + (int(last_row(ka, kb)[-1]) // NODE if len(ka) * len(kb) > CELLS else table(ka, kb)[-1][-1] // NODE)
         return known[key]
 
     def table(ka: list[int], kb: list[int]) -> list[list[int]]:
-        if len(ka) * len(kb) > CELLS:
-            return [[sum(weight(i, j) for i, j in zip(ka, kb))]]
         rows = [[0] * (len(kb) + 1)]
         for i in ka:
             last, row, left = rows[-1], [0], 0
+            label, own, leaf = a.label[i], a.own[i], not a.kids[i]
             for y, j in enumerate(kb):
                 best = last[y + 1] if last[y + 1] > left else left
-                if a.label[i] == b.label[j] and (w := last[y] + (1 if not a.kids[i] or not b.kids[j] else weight(i, j))) > best:
-                    best = w
+                if label == b.label[j]:
+                    w = last[y] + NODE * (1 if leaf or not b.kids[j] else weight(i, j)) + (own == b.own[j] and own != 0)
+                    if w > best:
+                        best = w
                 row.append(best)
                 left = best
             rows.append(row)
         return rows
 
+    def last_row(ka: list[int], kb: list[int]) -> np.ndarray:
+        """The table's last row, by whole rows."""
+        kinds: dict[tuple[int, int], int] = {}
+        place = np.array([kinds.setdefault((b.label[j], b.shape[j]), len(kinds)) for j in kb])
+        sample = dict(zip(place.tolist(), kb))
+        own = np.array([b.own[j] for j in kb], np.int64)
+        row = np.zeros(len(kb) + 1, np.int64)
+        for i in ka:
+            w = np.array([weight(i, sample[k]) for k in range(len(kinds))], np.int64)[place]
+            gain = w * NODE + ((own == a.own[i]) & (w > 0) if a.own[i] else 0)
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain))
+        return row
+
+    def pairs(ka: list[int], kb: list[int]) -> list[tuple[int, int]]:
+        out = []
+        todo = [(ka, kb)]
+        while todo:
+            ka, kb = todo.pop()
+            if len(ka) * len(kb) > CELLS:
+                same = lambda i, j: a.shape[i] == b.shape[j] and a.own[i] == b.own[j]
+                x = next((x for x, (i, j) in enumerate(zip(ka, kb)) if not same(i, j)), min(len(ka), len(kb)))
+                out += zip(ka[:x], kb[:x])
+                ka, kb = ka[x:], kb[x:]
+                x = next((x for x, (i, j) in enumerate(zip(reversed(ka), reversed(kb))) if not same(i, j)), min(len(ka), len(kb)))
+                out += zip(ka[len(ka) - x:], kb[len(kb) - x:])
+                ka, kb = ka[:len(ka) - x], kb[:len(kb) - x]
+            if len(ka) * len(kb) > CELLS and len(ka) > 1:
+                half = len(ka) // 2
+                cut = int(np.argmax(last_row(ka[:half], kb) + last_row(ka[:half - 1:-1], kb[::-1])[::-1]))
+                todo += [(ka[:half], kb[:cut]), (ka[half:], kb[cut:])]
+            elif ka and kb:
+                rows, x, y = table(ka, kb), len(ka), len(kb)
+                while x and y:
+                    if rows[x][y] == rows[x - 1][y]:
+                        x -= 1
+                    elif rows[x][y] == rows[x][y - 1]:
+                        y -= 1
+                    else:
+                        x, y = x - 1, y - 1
+                        out.append((ka[x], kb[y]))
+        return out
+
     out, todo = [], [(0, 0)]
     while todo:
         i, j = todo.pop()
         out.append((i, j))
         ka, kb = a.kids[i], b.kids[j]
-        if not ka or not kb:
-            continue
-        if a.shape[i] == b.shape[j]:
-            todo += zip(ka, kb)
-        elif len(ka) * len(kb) > CELLS:
-            todo += [(p, q) for p, q in zip(ka, kb) if a.label[p] == b.label[q]]
-        else:
-            rows, x, y = table(ka, kb), len(ka), len(kb)
-            while x and y:
-                if rows[x][y] == rows[x - 1][y]:
-                    x -= 1
-                elif rows[x][y] == rows[x][y - 1]:
-                    y -= 1
-                else:
-                    x, y = x - 1, y - 1
-                    todo.append((ka[x], kb[y]))
+        if ka and kb:
+            todo += zip(ka, kb) if a.shape[i] == b.shape[j] else pairs(ka, kb)
     return out
 
 

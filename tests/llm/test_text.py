@@ -245,3 +245,26 @@ def test_each_layout_has_a_wrapper(spark):
     got = extracted(spark, rows)
     assert all(got[i] == f"t{i}\ntext {i} is new" for i in range(60))
     assert all(got[i] == ("" if i % 2 else "Error 404") for i in range(60, 100))
+
+
+def test_long_lists_are_matched_like_short_ones(monkeypatch):
+    """One block more near the top of a long flat page shifts nothing; halving gives the mapping of the whole table."""
+    tree = lambda h, shapes: pages.Tree(pages.Page(h).skeleton(), shapes)
+    flat = lambda k, more: "<body>" + "".join((f"<p>{k} {i}</p>" if i % 3 else f"<div>line {i}</div>") + more * (i == 4) for i in range(1500))
+    shapes = {}
+    a, b = tree(flat("x", ""), shapes), tree(flat("y", "<div>extra</div><h2>z</h2>"), shapes)
+    same = {a.own[i] for i, j in pages.match(a, b) if a.own[i] and a.own[i] == b.own[j]}
+    assert len(same) == 500
+    r = random.Random(7)
+    some = lambda: "".join(r.choice(["<p>a</p>", "<p>b</p>", "<div><p>c</p></div>", "<div><p>c</p><p>d</p></div>", "<ul><li>x</ul>"]) for _ in range(r.randint(0, 14)))
+    for _ in range(150):
+        a, b = tree(some(), shapes), tree(some(), shapes)
+        found = []
+        for cells in (10 ** 6, 3):
+            monkeypatch.setattr(pages, "CELLS", cells)
+            found.append(pages.match(a, b))
+        top = [sum(a.own[i] == b.own[j] != 0 for i, j in m if i in a.kids[0]) for m in found]
+        assert len(found[0]) == len(found[1]) and top[0] == top[1]
+        assert all(a.label[i] == b.label[j] for i, j in found[1])
+        top = sorted(p for p in found[1] if p[0] in a.kids[0])
+        assert len({j for _, j in found[1]}) == len(found[1]) and all(x[1] < y[1] for x, y in zip(top, top[1:]))
