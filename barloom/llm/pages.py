@@ -11,7 +11,9 @@
    another: a node of CONSTANT of the pages is missing from all of them once in a thousand times.
 4. Every page is aligned with the wrapper of its host and layout. Its text is what stands in slots, inside the article (or main element)
    where the page marks one, without elements whose tag, role or class names them as menus, headers, footers, sidebars,
-   notices, adverts, forms or reader comments. Varying slots made of links alone are no content. Pages without a
+   notices, adverts, forms or reader comments. Without an article, menus go too: two or more blocks side by side (items of a list, cells,
+   containers) that all hold nothing but links, or one such block with two or more links. Headings, paragraphs and quotes are text, also
+   when they are links. Pages without a
    wrapper (under SUPPORT distinct pages of the host and layout, no host) are judged by their own markup.
 
 Text: character references decoded, white space inside a block made one space, blocks joined by a line feed, in page
@@ -62,6 +64,8 @@ WORDS = re.compile(r"[a-z]+")
 #: a start tag that closes an open element of these kinds
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
           "tbody": ("tbody", "thead", "tr", "td", "th")}
+ITEMS = frozenset("li dt dd td th".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre caption figcaption address summary legend".split())
 SCOPE = frozenset("html body table ul ol dl article section div main td th aside nav header footer form blockquote select".split())
 
 
@@ -194,19 +198,46 @@ class Page:
                 self.junk[i], i = self.junk[i] * (self.junk[i] == 2), self.parent[i]
             keep = self._kept()
         marked = any(m and k for m, k in zip(self.main, keep))
-        blocks, parts, linked, size = [], [], 0, 0
+        blocks, parts, at, linked, size, links, inside = [], [], 0, 0, 0, 0, False
         for node, text, link in [*self.pieces, (-1, "", False)]:
             if node < 0:
                 block = " ".join("".join(parts).split())
-                if block and (marked or linked * 2 <= size):
-                    blocks.append(block)
-                parts, linked, size = [], 0, 0
+                if block:
+                    blocks.append((block, at, links if linked == size > 0 else 0))
+                parts, linked, size, links, inside = [], 0, 0, 0, False
             elif keep[node] and node not in template and (self.main[node] or not marked):
                 parts.append(text)
-                n = len(text.strip())
-                size += n
-                linked += n * link
-        return "\n".join(blocks)
+                at = node
+                if not marked:
+                    n = sum(map(str.isalnum, text))
+                    size += n
+                    linked += n * link
+                    links += link and not inside
+                    inside = link
+        menu = set() if marked else self._menus(blocks)
+        return "\n".join(block for k, (block, _, _) in enumerate(blocks) if k not in menu)
+
+    def _menus(self, blocks: list[tuple[str, int, int]]) -> set[int]:
+        """Numbers of the blocks that are menus, of (text, node, number of links if there is nothing else)."""
+        beside: dict[int, list[int]] = {}  # blocks by the container of their items
+        single, items = set(), {}
+        for k, (_, node, links) in enumerate(blocks):
+            item, i = node, node
+            while i > 0 and self.label[i].partition(".")[0] not in ("ul", "ol", "dl", "table"):
+                if self.label[i].partition(".")[0] in ITEMS:
+                    item = i
+                    break
+                i = self.parent[i]
+            beside.setdefault(self.parent[item], []).append(k)
+            items[k] = item
+            tag = self.label[item].partition(".")[0]
+            if links > 1 and item > 0 and tag not in RUNNING and tag not in ("body", "html"):
+                single.add(k)
+        out = {k for k in single if sum(items[j] == items[k] for j in beside[self.parent[items[k]]]) == 1}
+        for group in beside.values():
+            if len({items[k] for k in group}) > 1 and all(blocks[k][2] and self.label[items[k]].partition(".")[0] not in RUNNING for k in group):
+                out.update(group)
+        return out
 
 
 class Tree:

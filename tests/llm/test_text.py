@@ -268,3 +268,14 @@ def test_long_lists_are_matched_like_short_ones(monkeypatch):
         assert all(a.label[i] == b.label[j] for i, j in found[1])
         top = sorted(p for p in found[1] if p[0] in a.kids[0])
         assert len({j for _, j in found[1]}) == len(found[1]) and all(x[1] < y[1] for x, y in zip(top, top[1:]))
+
+
+def test_links_in_running_text_stay():
+    """Pages without article: headings, sentences and entries made of links are text; lists of nothing but links are menus."""
+    text = lambda h: pages.Page(h).text(set())
+    assert text("<body><ul><li><a>Home</a><li><a>About</a><li><a>More</a></ul><h2><a href=#x>Heading</a></h2><p>It was so.</p>"
+                "<p><a>A paragraph that is a link</a></p><p>See <a>this long title of a paper</a>.</p>"
+                "<ul><li><a>First paper of all</a>, 1999<li><a>Second</a></ul></body>") == (
+                    "Heading\nIt was so.\nA paragraph that is a link\nSee this long title of a paper.\nFirst paper of all, 1999\nSecond")
+    assert text("<div><a>One</a> | <a>Two</a></div><div>said <a>a whole long sentence of links</a></div><div><a>alone</a></div>") == "said a whole long sentence of links\nalone"
+    assert text("<table><tr><td><a>m</a><td><a>n</a></table><h3><a>h</a></h3><h3><a>i</a></h3>") == "h\ni"
