@@ -116,6 +116,30 @@ def test_candidates_and_edge_cases(spark, documents, empty):
     assert findings.secret_scan(empty).count() == 0
 
 
+def test_assigned_values_and_labelled_spans_are_candidates(spark):
+    texts = ['é password="Tr0ub4dor&3" end', "the 'secret: correcthorsebattery' is", "x -----BEGIN RSA PRIVATE KEY-----\nMII", "API_KEY_PROD => ab, Authorization: Bearer q&z.",
+             "nothing but hidden words", "pwd='a b' pwd="]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    want = [(0, "Tr0ub4dor&3"), (1, "correcthorsebattery"), (2, "-----BEGIN RSA PRIVATE KEY-----"), (3, "ab"), (3, "q&z"), (5, "a b")]
+    got = findings.candidates(docs).collect()
+    assert Counter((r.doc_id, r.value) for r in got) == Counter(want)
+    assert all(texts[r.doc_id][r.start:r.end] == r.value for r in got)
+    labels = spark.createDataFrame([(4, 12, 18, 1), (0, 12, 23, 1), (4, 20, 99, 0)], "doc_id long, start long, end long, label int")
+    found = findings.candidates(docs, labels)
+    assert Counter((r.doc_id, r.value) for r in found.collect()) == Counter([*want, (4, "hidden")])
+    assert findings.match_labels(found, labels).count() == 2
+
+
+def test_rare_label_is_trained_on(spark):
+    """Labels of one kind outnumber the sample: the other kind is still learned."""
+    rows, labels = secrets(5, 800)
+    rare = {x[0] for x in labels if x[3]}
+    rare = set(sorted(rare)[:8])
+    known = spark.createDataFrame([x for x in labels if not x[3] or x[0] in rare], "doc_id long, start long, end long, label int")
+    got = findings.secret_scan(spark.createDataFrame(rows, SCHEMA).repartition(3), known, 40).collect()
+    assert all(r.probability is not None for r in got) and all(r.kept for r in got if r.doc_id in rare)
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     """Each stage on the one before, against the stages' own brute-force results; run() gives the same rows."""
     import corpus_pipeline
