@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-__all__ = ["BLANKS", "arrow_rows", "arrow_schema", "cut_lineage", "grow_components", "partitions", "table", "whole", "written"]
+__all__ = ["BLANKS", "arrow_rows", "arrow_schema", "cut_lineage", "grow_components", "in_order", "partitions", "table", "whole", "written"]
 
 #: The white space that separates words: space and the control characters 9 to 13.
 BLANKS = "[ \\x09-\\x0D]+"
@@ -81,3 +81,35 @@ def grow_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if step.filter("old <> component").isEmpty():
             break
     return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _running(batches):
+    """Sorted rows of a task with their number and the running sum of ``_value`` before each, both within the task."""
+    import numpy as np
+    from pyspark import TaskContext
+
+    part, number, total = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n, value = batch.num_rows, batch.column("_value").to_numpy(zero_copy_only=False)
+        after = total + np.cumsum(value)
+        for name, column in (("_part", np.full(n, part, np.int64)), ("_at", number + np.arange(n)), ("_sum", after - value)):
+            batch = batch.append_column(name, pa.array(column, pa.int64()))
+        number, total = number + n, int(after[-1]) if n else total
+        yield batch
+
+
+def in_order(df: DataFrame, *order: Column, value: Column | None = None) -> DataFrame:
+    """The rows, written in a total order, with their number in it from 0 (``place``) and the sum of ``value`` over all rows before (``before``).
+
+    One range exchange. Rows are numbered inside the sorted partitions; the sizes of the partitions (as many rows as there are
+    partitions) give the offsets. The order must decide between any two rows that differ, so that a replayed task gives the same answer.
+    """
+    sorted_ = df.withColumn("_value", F.lit(0).cast("long") if value is None else value.cast("long")).orderBy(*order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema)
+    spread = cut_lineage(sorted_.mapInArrow(_running, f"{schema}, _part long, _at long, _sum long"))
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # over a row per partition
+    offsets = (spread.groupBy(F.col("_part").alias("p")).agg(F.count("*").alias("n"), F.sum("_value").alias("s"))
+               .select("p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_s")))
+    out = (spread.join(F.broadcast(offsets), F.col("_part") == F.col("p"))
+           .withColumns({"place": F.col("_at") + F.col("_n"), "before": F.col("_sum") + F.col("_s")}).drop("_value", "_part", "_at", "_sum", "p", "_n", "_s"))
+    return out.drop("before") if value is None else out

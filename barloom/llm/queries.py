@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import findings, near, packing, pages, personal, quality, segments, suffixes, tokens, vectors
+from barloom.llm import findings, near, packing, pages, personal, quality, resample, search, segments, suffixes, tokens, trie, vectors
 from barloom.llm.common import cut_lineage, table
 
 
@@ -55,6 +55,20 @@ def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return findings.secret_scan(table(spark, sf, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(*trie.shared_starts(trie.turn_digests(table(spark, sf, "conversations"))))
+
+
+def op13_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_html_extraction, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_embedding_near_dedup,
-    op7_best_fit_packing, op8_pii, op9_quality_rules, op10_secret_scans)}
+    op7_best_fit_packing, op8_pii, op9_quality_rules, op10_secret_scans,
+    op11_importance_resampling, op12_prefix_trie, op13_exact_top_k)}
