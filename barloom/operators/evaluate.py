@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.functions.expr import deviation, guarded_corr, ratio
 from barloom.functions.logits import argmax_class, parse_logits, softmax
-from barloom.operators.ranking import average_rank
+from barloom.operators.ranking import average, value_ranks
 
 
 def _ranked_pairs(df: DataFrame, pred: str, label: str) -> DataFrame:
     """(date, _p, _l, _rp, _rl): rows with a missing side keep their date and count in no rank or sum."""
     both = F.col(pred).isNotNull() & F.col(label).isNotNull()
     pairs = df.select("date", F.when(both, F.col(pred)).alias("_p"), F.when(both, F.col(label)).alias("_l"))
-    return average_rank(average_rank(pairs, "_p", "_rp"), "_l", "_rl")
+    ranks = [value_ranks(pairs, ["date"], x).select("date", x, average(out)) for x, out in (("_p", "_rp"), ("_l", "_rl"))]
+    return pairs.join(ranks[0], ["date", "_p"], "left").join(ranks[1], ["date", "_l"], "left")
 
 
 def ic_spearman_by_day(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:

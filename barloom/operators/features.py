@@ -17,6 +17,7 @@ from barloom.operators.align import calendar_positions, common_dates
 from barloom.operators.clean import ffill_bfill
 from barloom.operators.ewm import Ewm, ewm, span_alpha
 from barloom.operators.sizing import join_per_date
+from barloom.operators.wide import to_blocks
 
 # Window lengths of the feature set.
 ROC_WINDOWS = (3, 5, 10, 14, 20, 60)
@@ -257,9 +258,9 @@ def feature_matrix_long(table: DataFrame, features: Sequence[str] = tuple(FEATUR
     return table.unpivot(["date", "symbol"], list(features), "feature", "value")
 
 
-def feature_matrix_wide(table: DataFrame, feature: str, symbols: Sequence) -> DataFrame:
-    """Dates x symbols of one feature, an edge format: columns in the order of the symbol list."""
-    return table.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(feature))
+def feature_matrix_wide(table: DataFrame, feature: str, symbols: DataFrame) -> DataFrame:
+    """(date, block, values): dates x symbols of one feature, an edge format; ``symbols`` as ``wide.numbered_keys`` numbers them."""
+    return to_blocks(table.select("date", "symbol", feature), feature, symbols)
 
 
 def lag_ratio_factors(bars: DataFrame, lags: int = 60, fields: Sequence[str] = ("close", "open", "high", "low", "vwap",

@@ -1,10 +1,10 @@
 """Exact ranks and medians inside a group (a date) of any size.
 
-A plain window by date puts one date's whole universe into one task. Here each group is cut into cells by the
-leading bits of the value; a cell that holds more than CELL distinct values is cut again evenly between its smallest and
-largest value, LEVELS times, so values crowded into a narrow range spread out too. Counts of the cells give the offset of a
-cell, and only the inside of a cell is sorted. The cut depends on the values alone (counts, minima and maxima, no sampling), so
-a replayed task gives the same answer.
+A plain window by date puts one date's whole universe into one task. Here each group is cut into cells by the leading bits of an
+order-preserving 64-bit key of the value. One aggregate counts distinct values per 32-bit prefix; its sums per 16-bit prefix tell which
+cells stay as they are and which are cut at 32 or, where even those are crowded, at 48 bits. A cell so holds at most CELL
+distinct values, or at most the 65,536 that share 48 bits. Counts of the cells give the offset of a cell, and only the inside of a cell is
+sorted. The cut depends on the values alone (counts, no sampling), so a replayed task gives the same answer.
 """
 
 from __future__ import annotations
@@ -13,21 +13,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Cells per power of two: no cell spans values more than about one percent apart.
-CELLS_PER_OCTAVE = 64
-# Distinct values a cell may hold before it is cut again, and how often it is.
+# Distinct values a cell may hold before it is cut again.
 CELL = 20_000
-LEVELS = 3
 # Groups of equal values above this size are cut further when rows inside them must be ordered.
 TIE_CELL = 1 << 20
 # Lengths of the prefixes tried to cut them when the tie-break column is a string.
 PREFIXES = (3, 6, 10, 16, 32)
 
 
+def order_key(value: Column) -> Column:
+    """A long that grows with the value: the bits of a double read as sign and magnitude.
+
+    Exponent and fraction are computed exactly (products with powers of two); NaN sorts last.
+    """
+    x = value.cast("double")
+    size = F.abs(x)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("int")
+    power = F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(size >= power * 2, 1).when((size < power) & (guess > -1022), -1).otherwise(0)
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)).cast("long")
+    bits = F.shiftleft((exponent + 1023).cast("long"), 52) + fraction
+    tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")  # below the smallest normal number the bits count its units
+    magnitude = F.when(size < 2.0 ** -1022, tiny).when(size == float("inf"), F.lit(2047 << 52)).otherwise(bits)
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).when(x < 0, -magnitude).otherwise(magnitude)
+
+
 def _cell(value: Column) -> Column:
-    """Cell number, never decreasing in the value."""
-    size = (F.floor(F.least(F.log2(F.abs(value)), F.lit(1024.0)) * CELLS_PER_OCTAVE) + 1100 * CELLS_PER_OCTAVE).cast("int")
-    return F.when(value == 0, 0).when(value > 0, size).otherwise(-size)
+    """Cell number of a value whose cell is not crowded, never decreasing in the value."""
+    return F.shiftright(order_key(value), 48)
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -36,8 +49,7 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     NULL values are left out. Equal values collapse map-side, so a value shared by many rows is one row here.
     """
     by = list(by)
-    values = (df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-              .withColumn("_cell", F.array(_cell(F.col(value)))))
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     values = cut_crowded(values, by, value)
     cells = values.groupBy(*by, "_cell").agg(F.sum("n").alias("_cell_n"))
     ordered = Window.partitionBy(*by).orderBy("_cell")
@@ -51,26 +63,36 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
             .select(*by, value, "n", (F.col("_offset") + F.col("_upto") - F.col("n")).alias("below"), "total"))
 
 
-def cut_crowded(values: DataFrame, by: list[str], value: str, cell: int | None = None, levels: int | None = None) -> DataFrame:
-    """Lengthen ``_cell``, an array in value order, where more than CELL distinct values share it.
+def cut_crowded(values: DataFrame, by: list[str], value: str, cell: int | None = None) -> DataFrame:
+    """Set ``_cell``, the smallest key of the cell of each distinct value (ascending with the value).
 
-    Crowded cells are few; where there are none, adaptive execution finds the cut's side empty and drops the join's work.
+    ``top`` lists the crowded 16-bit prefixes, each with its crowded 32-bit ones, so it is smaller than the values by a factor of CELL; where
+    nothing is crowded adaptive execution finds it empty.
     """
-    cell, levels = cell or CELL, LEVELS if levels is None else levels
-    for _ in range(levels):
-        crowded = (values.groupBy(*by, "_cell").agg(F.count("*").alias("_k"), F.min(value).alias("_low"), F.max(value).alias("_high"))
-                   .where((F.col("_k") > cell) & (F.col("_high") > F.col("_low"))))
-        part = F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (F.floor(F.col("_k") / cell) + 1) * 4).cast("int")
-        values = (values.join(crowded, [*by, "_cell"], "left")
-                  .withColumn("_cell", F.when(F.col("_k").isNull(), F.col("_cell")).otherwise(F.concat("_cell", F.array(part))))
-                  .drop("_k", "_low", "_high"))
-    return values
+    cell = cell or CELL
+    keyed = values.drop("_cell").withColumn("_key", order_key(F.col(value)))
+    fine = keyed.groupBy(*by, F.shiftright("_key", 32).alias("_fine")).agg(F.count("*").alias("_k"))
+    top = (fine.groupBy(*by, F.shiftright("_fine", 16).alias("_top"))
+           .agg(F.sum("_k").alias("_k"), F.collect_list(F.when(F.col("_k") > cell, F.col("_fine"))).alias("_deep"))
+           .where(F.col("_k") > cell))
+
+    def floor(bits: int) -> Column:
+        return F.shiftleft(F.shiftright("_key", bits), bits)
+
+    cut = (F.when(F.col("_deep").isNull(), floor(48)).when(F.array_contains("_deep", F.shiftright("_key", 32)), floor(16))
+           .otherwise(floor(32)))
+    return (keyed.withColumn("_top", F.shiftright("_key", 48)).join(top, [*by, "_top"], "left")
+            .select(*[c for c in values.columns if c != "_cell"], cut.alias("_cell")))
+
+
+def average(out: str) -> Column:
+    """Average-of-ties rank from a row of ``value_ranks``."""
+    return (F.col("below") + (F.col("n") + 1) / 2).alias(out)
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date",)) -> DataFrame:
     """Average-of-ties rank of each row in its group; NULL stays NULL."""
-    ranks = value_ranks(df, by, value).select(
-        *by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
+    ranks = value_ranks(df, by, value).select(*by, value, average(out))
     return df.join(ranks, [*by, value], "left").select(*df.columns, out)
 
 

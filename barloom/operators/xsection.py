@@ -14,7 +14,6 @@ from barloom.functions.expr import deviation, inf_to_null, ratio
 from barloom.operators.clean import mask_missing_price
 from barloom.operators.ranking import average_rank, descending_row_number, exact_median
 from barloom.operators.sizing import join_per_date
-from barloom.session import cut_lineage
 
 FLAT = 1e-8
 # Fixed value: scales a mean absolute deviation to a standard deviation.
@@ -100,13 +99,11 @@ def neutralise_cap(df: DataFrame, factor: str = "factor", log_cap: str = "log_ca
 def factor_preprocess(df: DataFrame, dates: DataFrame, factor: str = "factor", small_dates: bool = False) -> DataFrame:
     """Mask, cap, neutralise and standardise on the given dates (rebalance eves).
 
-    ``df`` has symbol, date, factor, close and cap; the date filter comes first so nothing else is computed. Every
-    step joins statistics of its input back onto it, which doubles the plan, so the chosen dates and the capped values
-    are checkpointed.
+    ``df`` has symbol, date, factor, close and cap; the date filter comes first so nothing else is computed. Lazy: every step reads
+    its input again for the statistics, so a caller whose ``df`` is expensive passes a stored one.
     """
     rows = join_per_date(df, dates.select("date"), how="left_semi", small_dates=small_dates)
-    rows = cut_lineage(mask_missing_price(rows, factor))
-    rows = cut_lineage(cap_outliers_xs(rows, factor, small_dates=small_dates))
+    rows = cap_outliers_xs(mask_missing_price(rows, factor), factor, small_dates=small_dates)
     rows = neutralise_cap(rows.withColumn("log_cap", F.ln("cap")), factor, small_dates=small_dates)
     rows = rows.withColumn(factor, inf_to_null(factor))
     return cs_standardise(rows, [factor], small_dates).drop("log_cap")

@@ -395,6 +395,10 @@ def check(name: str, sql: str) -> None:
 
 
 OHLCV = cols(FIELDS)
+check("A1_read_bars", f"select symbol, date, {OHLCV} from bars_m")
+check("A5_read_sectioned_ohlc", f"""
+  select c.date, s.symbol, {', '.join(r('b.' + x, x) for x in FIELDS[:4])} from (select distinct date from bars_m) c
+  cross join (select distinct symbol from bars_m) s left join bars_m b on b.date = c.date and b.symbol = s.symbol""")
 check("A2_read_csv_folder", f"select symbol, date, {cols(['close', 'volume'])} from bars_w")
 _wide = f"""select c.date, s.symbol, {{}} from (select distinct date from bars_m) c
   cross join (select distinct symbol from bars_m) s left join bars_m b on b.date = c.date and b.symbol = s.symbol"""
@@ -535,6 +539,9 @@ check("E21_build_feature_matrix", f"""select symbol, date, {cols(FT.FEATURES, 4)
 check("E22_feature_matrix_long", f"""select date, symbol, name as feature, {r('v', 'value', 4)} from (
   select date, symbol, unnest([{', '.join(f"'{n}'" for n in FT.FEATURES)}]) as name,
          unnest([{', '.join(f'cast({n} as double)' for n in FT.FEATURES)}]) as v from features)""")
+check("E22_feature_matrix_wide", f"""
+  select date, cast(floor(pos / 64) as integer) as block, cast(pos % 64 as integer) as at, {r('RSI_14', 'value', 4)} from features
+  join (select symbol, row_number() over (order by symbol) - 1 as pos from (select distinct symbol from features)) using (symbol)""")
 _lags = {"close": "close", "open": "close", "high": "close", "low": "close", "vwap": "close", "volume": "volume"}
 check("A8_write_panel_by_feature", f"""select date, symbol, name as feature, {r('v', 'value', 4)} from (
   select date, symbol, unnest([{', '.join(f"'{n}'" for n in FT.FEATURES)}]) as name,
@@ -619,6 +626,42 @@ check("G10_stack_features", f"""
                    case when l.fwd_ret > 0 then 1.0 else 0.0 end]) as v
     from features f join labels l using (symbol, date))""")
 
+# Model samples: a row and the 22 places of every window it stands in.
+CTE["placed"] = """
+  select split, symbol, date, fwd_ret, i, n, unnest(range(greatest(0, i - n + 22)::int, least(i, 21)::int + 1)) as place from slots"""
+CTE["coded"] = """
+  select date, ((42 + pos) % 252) // 21 as month_code, pos % 21 as day_code from (
+    select date, row_number() over (order by date) - 1 as pos from (select distinct date from labels))"""
+CTE["stacked"] = f"""
+  select f.symbol, f.date, unnest(range({len(FT.FEATURES) + 2})::integer[]) as feature,
+         unnest([{', '.join(f'coalesce(cast(f.{n} as double), 0)' for n in sorted(FT.FEATURES))}, coalesce(l.fwd_ret, 0),
+                 case when l.fwd_ret > 0 then 1.0 else 0.0 end]) as v
+  from features f join labels l using (symbol, date)"""
+_AS_OF = "max(p.date) filter (where place = 19) as as_of"
+check("G7_model_windows", f"""
+  select p.split, p.symbol, cast(p.i - place as integer) as sample, {_AS_OF}, feature,
+         {r('sum(case when place < 20 then v * (place + 1) else 0 end)', 'x', 3)}, {r('sum(case when place >= 20 then v * (place - 19) else 0 end)', 'y', 3)}
+  from placed p join stacked s on s.symbol = p.symbol and s.date = p.date group by p.split, p.symbol, p.i - place, feature""")
+check("G7_indicator_code_windows", """
+  select split, symbol, cast(i - place as integer) as sample, case when place < 20 then 'x' else 'y' end as part,
+         cast(case when place < 20 then place else place - 20 end as integer) as i, cast(fwd_ret > 0 as integer) as trend,
+         cast(month_code as integer) as month_code, cast(day_code as integer) as day_code from placed join coded using (date)""")
+_totals = ", ".join(r(f"sum(case when part = '{side}' then {part} * (i + 1) else 0 end)", f"{side}_{part}") for side in ("x", "y") for part in ("low", "high"))
+check("G9_model_split", f"""
+  select s.split, s.symbol, cast(s.sample as integer) as sample, t.date as as_of, {_totals} from ({_sides}) s
+  join slots t on t.split = s.split and t.symbol = s.symbol and t.i = s.sample + 19 group by s.split, s.symbol, s.sample, t.date""")
+CTE["tagged_labels"] = """
+  select *, case when pos < floor(0.75 * n) then 'train' when pos < floor(0.875 * n) then 'val' else 'test' end as split from split"""
+_z = ", ".join(f"(f.{n} - avg(f.{n}) over w) / case when stddev_samp(f.{n}) over w >= 1e-8 then stddev_samp(f.{n}) over w else 1 end as {n}" for n in FT.FEATURES)
+CTE["scaled_features"] = f"select f.symbol, f.date, {_z} from feature_filled f window w as (partition by f.date)"
+check("G10_model_table", f"""
+  select symbol, date, split, feature, {r('v', 'value', 4)} from (
+    select f.symbol, f.date, l.split, unnest(range({len(FT.FEATURES) + 2})::integer[]) as feature,
+           unnest([{', '.join(f'coalesce(cast(f.{n} as double), 0)' for n in sorted(FT.FEATURES))}, coalesce(l.fwd_ret, 0),
+                   case when l.fwd_ret > 0 then 1.0 else 0.0 end]) as v
+    from scaled_features f join tagged_labels l using (symbol, date)
+    where f.date in (select date from (select date, row_number() over (order by date) as pos from (select distinct date from feature_filled)) where pos > 60))""")
+
 check("H1_correlation_matrix", f"select src, dst, {r('weight', 'weight')} from links")
 check("H2_correlation_edges", f"select src, dst, {r('weight', 'weight')} from links where abs(weight) > 0.1")
 check("H3_correlation_edges_all", f"select src, dst, {r('weight', 'weight')} from links where weight is not null")
@@ -629,6 +672,10 @@ check("H4_normalised_laplacian", f"""
     join (select src, sum(weight) as d from both_links group by src) b on b.src = e.dst
     union all select distinct symbol, symbol, 1.0 from labels)""")
 
+_ranks4 = "(select unnest(range(4))::integer as rank)"
+check("H5_spectral_residual", f"select symbol, rank, 0.0::double as residual from (select distinct symbol from labels) cross join {_ranks4}")
+check("H5_spectral_gram", f"""select a.rank as i, b.rank as j, case when a.rank = b.rank then 1.0::double else 0.0::double end as product, true as ordered
+  from {_ranks4} a join {_ranks4} b on a.rank <= b.rank""")
 check("I1_parse_logits", f"""
   select date, symbol, pattern, 2 as n, {r('down', 'first')}, {r('up', 'second')} from logits
   cross join (values ('evaluate'), ('results')) v(pattern)""")
@@ -704,6 +751,14 @@ check("M1_score_windows", f"""
   select t.symbol, t.date as as_of, 1 as step, s.pred > 0 as up, {r('s.pred', 'pred')} from (
     select split, symbol, sample, avg(v) as pred from samples where i < 20 group by 1, 2, 3) s
   join slots t on t.split = s.split and t.symbol = s.symbol and t.i = s.sample + 19""")
+CTE["panel_split"] = """
+  select p.symbol, p.date, case when pos < floor(n * 0.75) then 'train' when pos < floor(n * 0.875) then 'val' else 'test' end as split
+  from panel p join (select date, row_number() over (order by date) - 1 as pos, count(*) over () as n
+                     from (select distinct date from panel)) using (date)"""
+check("M2_boosted_tree_expression", """select p.symbol, p.date, true as same from panel_split p join labels l using (symbol, date)
+  where split = 'test'""")
+check("M2_boosted_tree_error", """select count(*) as n, true as better from panel_split p join labels l using (symbol, date)
+  where split = 'test'""")
 check("M3_pivot_scores", f"select symbol, cast(date as varchar) as day, {r('score', 'score')} from scores")
 check("M4_pivot_prices", _wide.replace("bars_m", "bars_w").format(r("b.close", "close")).replace(
     "s.symbol,", "cast(s.symbol as varchar) as symbol,"))

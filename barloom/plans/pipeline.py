@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from barloom.operators import align, clean, evaluate, features, nav, portfolio, targets, windows, xsection
+from barloom.operators.sizing import join_per_date
 
 
 def clean_bars(bars: DataFrame, fill: int = 5, sparse: float = 0.05, small_dates: bool = False) -> DataFrame:
@@ -17,13 +18,30 @@ def clean_bars(bars: DataFrame, fill: int = 5, sparse: float = 0.05, small_dates
 
 
 def model_table(bars: DataFrame, small_dates: bool = False) -> DataFrame:
-    """(symbol, date, split, features): z-scored features with return and trend, tagged train / val / test."""
-    table = features.build_feature_matrix(clean_bars(bars, small_dates=small_dates), small_dates=small_dates)
+    """(symbol, date, fwd_ret, trend, split, features): z-scored features with return and trend, tagged train / val / test.
+
+    The split counts the dates of the labels, as the pipeline stores it; the first dates have labels but, for the warm-up, no features.
+    ``bars`` are cleaned bars (``clean_bars``), from which both features and labels are made.
+    """
+    table = features.build_feature_matrix(bars, small_dates=small_dates)
     scaled = xsection.cs_zscore(table, features.FEATURES, small_dates)
     labels = targets.trend_indicator(targets.forward_return(bars, small_dates=small_dates))
-    joined = scaled.join(labels, ["symbol", "date"])
-    stacked = windows.stack_features(joined, features.FEATURES)
-    return targets.split_by_position(stacked, small_dates=small_dates)
+    tagged = targets.split_by_position(labels, small_dates=small_dates)
+    stacked = windows.stack_features(scaled.join(tagged.select("symbol", "date", "fwd_ret", "trend"), ["symbol", "date"]), features.FEATURES)
+    return tagged.join(stacked, ["symbol", "date"])
+
+
+def model_input(bars: DataFrame, past: int = 20, ahead: int = 2, small_dates: bool = False) -> DataFrame:
+    """Samples of the model (``windows.model_samples``) over the returns, indicator, stacked features and calendar codes of all label dates.
+
+    Split lengths are rounded half to even here, as the loader cuts them.
+    """
+    labels = targets.trend_indicator(targets.forward_return(bars, small_dates=small_dates))
+    tagged = targets.split_by_round(labels, small_dates=small_dates)
+    stacked = windows.stack_features(features.compute_features(bars).join(labels, ["symbol", "date"]), features.FEATURES)
+    codes = windows.temporal_codes(labels).select("date", "month_code", "day_code")
+    table = join_per_date(tagged.join(stacked, ["symbol", "date"]), codes, small_dates=small_dates)
+    return windows.model_samples(table, past, ahead)
 
 
 def score_report(scores: DataFrame, prices: DataFrame, benchmark: DataFrame, k: int = 10, fee: float = 0.001,

@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from barloom.functions import logits as L
 from barloom.operators import (align, clean, embedding, evaluate, features, graph, nav, portfolio, reports, scoring, sizing, targets,
-                               windows, xsection)
+                               wide, windows, xsection)
 from barloom.plans import pipeline, views as V
 from barloom.sources import readers, writers
 
@@ -51,6 +51,13 @@ def event_dates_fit(spark, sf):
 
 # Sources and sinks: written in one layout, read back through the reader.
 
+@query("A1_read_bars")
+def _(spark, sf):
+    path = V.scratch(spark, "tickers")
+    writers.write_bars(V.bars(spark, sf, "month"), path)
+    return readers.read_bars(spark, path).withColumn("symbol", F.col("symbol").cast("bigint"))
+
+
 @query("A2_read_csv_folder")
 def _(spark, sf):
     path = V.scratch(spark, "csv")
@@ -61,10 +68,8 @@ def _(spark, sf):
 
 @query("A3_read_wide_panel")
 def _(spark, sf):
-    bars = V.bars(spark, sf, "month")
-    symbols = [r.symbol for r in bars.select("symbol").distinct().orderBy("symbol").collect()]
     path = V.scratch(spark, "wide")
-    xsection.pivot_values(bars, "close", symbols).write.option("header", True).csv(path)
+    writers.write_wide(V.bars(spark, sf, "month"), path, "close", width=64)
     wide = readers.read_wide_panel(spark, path, "close", zero_missing=True)
     return wide.select("date", F.col("symbol").cast("bigint").alias("symbol"), "close")
 
@@ -74,9 +79,7 @@ def _matrix(spark, sf):
     bars = V.bars(spark, sf, "month")
     path = V.scratch(spark, "matrix")
     writers.write_matrix(bars, path, "close")
-    tickers = bars.select("symbol").distinct().select(
-        "symbol", (F.row_number().over(Window.orderBy("symbol")) - 1).cast("int").alias("pos"))
-    return path, bars.select("date").distinct(), tickers
+    return path, bars.select("date").distinct(), wide.numbered_keys(bars, "symbol").select("symbol", F.col("pos").cast("int").alias("pos"))
 
 
 @query("A4_read_positional_matrix")
@@ -91,6 +94,15 @@ def _(spark, sf):
     return readers.attach_calendar(path, days, tickers, "1990-01-01", value="close")
 
 
+@query("A5_read_sectioned_ohlc")
+def _(spark, sf):
+    """Four price blocks in one GBK file, each with its heading and two closing notes, read back."""
+    bars = V.bars(spark, sf, "month")
+    path = V.scratch(spark, "sections")
+    writers.write_sectioned_ohlc(bars, path)
+    return readers.read_sectioned_ohlc(spark, path).withColumn("symbol", F.col("symbol").cast("bigint"))
+
+
 @query("A6_read_ticker_list")
 def _(spark, sf):
     path = V.scratch(spark, "tickers")
@@ -370,6 +382,15 @@ def _(spark, sf):
     return features.feature_matrix_long(features.compute_features(V.panel(spark, sf)).select("symbol", "date", *features.FEATURES))
 
 
+@query("E22_feature_matrix_wide", 4)
+def _(spark, sf):
+    """Dates x symbols of one feature in blocks of 64 symbols, one row per cell."""
+    panel = V.panel(spark, sf)
+    symbols = wide.numbered_keys(panel, "symbol", 64)
+    blocks = features.feature_matrix_wide(features.rsi(panel), "RSI_14", symbols)
+    return blocks.select("date", "block", F.posexplode("values").alias("at", "value"))
+
+
 @query("E23_lag_ratio_factors", 5)
 def _(spark, sf):
     """Sixty lags of six fields, one row per lag."""
@@ -484,6 +505,35 @@ def _(spark, sf):
     return _cells(_windowed(spark, sf), ["split", "symbol", "sample"], x="x_fwd_ret", y="y_fwd_ret")
 
 
+def _model_samples(spark, sf) -> DataFrame:
+    return pipeline.model_input(V.panel(spark, sf), small_dates=fits(spark, sf))
+
+
+@query("G7_model_windows", 3)
+def _(spark, sf):
+    """Windows of the 71 stacked features: per feature the sums of its twenty past and two following values, weighted by their place."""
+    def sums(side):
+        """One number per feature from an array of vectors; the weight shows the order of the window."""
+        zero = F.array_repeat(F.lit(0.0), len(features.FEATURES) + 2)
+        weighted = F.transform(F.col(f"{side}_features"), lambda v, i: F.transform(v, lambda x: x * (i + 1)))
+        return F.aggregate(weighted, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+
+    cells = F.posexplode(F.arrays_zip(sums("x").alias("x"), sums("y").alias("y")))
+    rows = _model_samples(spark, sf).select("split", "symbol", "sample", "as_of", cells.alias("feature", "z"))
+    return rows.select("split", "symbol", "sample", "as_of", "feature", "z.x", "z.y")
+
+
+@query("G7_indicator_code_windows")
+def _(spark, sf):
+    """Windows of the indicator and of the calendar codes, one row per place."""
+    parts = []
+    for side in ("x", "y"):
+        zipped = F.arrays_zip(*[F.col(f"{side}_{c}").alias(c) for c in ("trend", "month_code", "day_code")])
+        parts.append(F.transform(zipped, lambda z, i: F.struct(F.lit(side).alias("part"), i.alias("i"), z["trend"].alias("trend"),
+                                                               z["month_code"].alias("month_code"), z["day_code"].alias("day_code"))))
+    return _model_samples(spark, sf).select("split", "symbol", "sample", F.inline(F.flatten(F.array(*parts))))
+
+
 @query("G8_temporal_codes")
 def _(spark, sf):
     coded = windows.temporal_codes(V.bars(spark, sf))
@@ -512,6 +562,24 @@ def _(spark, sf):
     return _cells(stacked, ["symbol", "date"], f="features")
 
 
+@query("G9_model_split")
+def _(spark, sf):
+    """Wavelet parts of the returns of each model sample, per window their sums weighted by place."""
+    def total(column):
+        return F.aggregate(F.transform(F.col(column), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+    names = [f"{side}_fwd_ret_{part}" for side in ("x", "y") for part in ("low", "high")]
+    return _model_samples(spark, sf).select("split", "symbol", "sample", "as_of", *[total(c).alias(c.replace("_fwd_ret", "")) for c in names])
+
+
+@query("G10_model_table", 4)
+def _(spark, sf):
+    """Bars to the tagged model table in one plan: clean, features, z-score, labels, split; one row per feature."""
+    bars = clean.ffill_bfill(pipeline.clean_bars(V.bars(spark, sf), small_dates=fits(spark, sf)))
+    table = pipeline.model_table(bars, small_dates=fits(spark, sf))
+    return table.select("symbol", "date", "split", F.posexplode("features").alias("feature", "value"))
+
+
 # Graph.
 
 @query("H1_correlation_matrix")
@@ -547,6 +615,23 @@ def _(spark, sf):
         (v * v).alias("square"), x.alias("value")))).alias("rank", "z")).select("symbol", "rank", "z.square", "z.value")
 
 
+@query("H5_spectral_residual", 4)
+def _(spark, sf):
+    """How far L v is from value * v, per symbol and pair."""
+    laplacian = graph.normalised_laplacian(*_links(spark, sf))
+    residuals = graph.eigen_residuals(laplacian, graph.spectral_vectors(laplacian, 4))
+    return residuals.select("symbol", "rank", F.abs("residual").alias("residual"))
+
+
+@query("H5_spectral_gram", 4)
+def _(spark, sf):
+    """Inner products of the eigenvectors, and whether their values fall in size."""
+    pairs = graph.spectral_vectors(graph.normalised_laplacian(*_links(spark, sf)), 4)
+    sums = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col("vector")[i] * F.col("vector")[j]).alias("product"),
+                     F.min(F.abs(F.col("values")[i]) >= F.abs(F.col("values")[j])).alias("ordered")) for i in range(4) for j in range(i, 4)]
+    return pairs.agg(F.array(*sums).alias("_s")).select(F.inline("_s"))
+
+
 @query("H6_structural_embedding", 4)
 def _(spark, sf):
     """One row per symbol with the length of its vector."""
@@ -815,29 +900,53 @@ def _(spark, sf):
     return scoring.last_step(scored)
 
 
-@query("M2_boosted_tree_scores")
-def _(spark, sf):
+def _tree_table(spark, sf) -> DataFrame:
     base = features.compute_features(V.panel(spark, sf))
     tagged = targets.split_by_position(base, small_dates=fits(spark, sf)).join(V.labels(spark, sf), ["symbol", "date"])
-    return scoring.boosted_tree_scores(tagged.select("symbol", "date", "split", "fwd_ret", *features.FEATURES), features.FEATURES)
+    return tagged.select("symbol", "date", "split", "fwd_ret", *features.FEATURES)
+
+
+@query("M2_boosted_tree_scores")
+def _(spark, sf):
+    return scoring.boosted_tree_scores(_tree_table(spark, sf), features.FEATURES)
+
+
+@query("M2_boosted_tree_expression")
+def _(spark, sf):
+    """The fitted trees as rows, scored as one column expression over the test rows: the same scores as the model gives."""
+    table = V.stored(spark, sf, "tree-table", lambda: _tree_table(spark, sf))
+    model = scoring.fit_boosted_trees(table, features.FEATURES)
+    test = table.where(F.col("split") == "test")
+    by_model = model.transform(scoring._assembled(test, features.FEATURES))
+    rows = scoring.tree_rows(model, features.FEATURES)
+    return by_model.select("symbol", "date", (F.abs(F.col("score") - scoring.tree_score(rows)) < 1e-9).alias("same"))
+
+
+@query("M2_boosted_tree_error")
+def _(spark, sf):
+    """Squared error over all test rows against that of the mean label of the train rows."""
+    table = V.stored(spark, sf, "tree-table", lambda: _tree_table(spark, sf))
+    rows = scoring.tree_rows(scoring.fit_boosted_trees(table, features.FEATURES), features.FEATURES)
+    mean = table.where(F.col("split") == "train").agg(F.avg("fwd_ret")).scalar()
+    test = table.where(F.col("split") == "test").select("fwd_ret", scoring.tree_score(rows).alias("score"))
+    errors = [F.avg((F.col("fwd_ret") - x) * (F.col("fwd_ret") - x)) for x in (F.col("score"), mean)]
+    return test.agg(F.count("*").alias("n"), (errors[0] < errors[1]).alias("better"))
 
 
 @query("M3_pivot_scores")
 def _(spark, sf):
-    """Symbols x dates and back, every date a column."""
+    """Symbols x dates and back, in blocks of 100 dates."""
     s = V.scores(spark, sf).withColumn("day", F.col("date").cast("string"))
-    days = [r.day for r in s.select("day").distinct().orderBy("day").collect()]
-    wide = xsection.pivot_values(s, "score", days, "symbol", "day")
-    return wide.unpivot("symbol", [f"`{d}`" for d in days], "day", "score")
+    days = wide.numbered_keys(s, "day", 100)
+    return wide.from_blocks(wide.to_blocks(s, "score", days, "symbol", "day"), days, "score", "symbol", "day")
 
 
 @query("M4_pivot_prices")
 def _(spark, sf):
-    """Dates x symbols and back, every symbol a column; missing prices stay NULL."""
-    bars = V.bars(spark, sf)
-    symbols = [r.symbol for r in bars.select("symbol").distinct().orderBy("symbol").collect()]
-    wide = xsection.pivot_values(bars, "close", symbols)
-    return wide.unpivot("date", [f"`{s}`" for s in symbols], "symbol", "close")
+    """Dates x symbols and back, in blocks of 64 symbols; missing prices stay NULL."""
+    bars = V.bars(spark, sf).select("date", F.col("symbol").cast("string").alias("symbol"), "close")
+    symbols = wide.numbered_keys(bars, "symbol", 64)
+    return wide.from_blocks(wide.to_blocks(bars, "close", symbols), symbols, "close")
 
 
 @query("entry_top_k_performance")

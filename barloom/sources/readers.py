@@ -46,10 +46,7 @@ def read_csv_folder(spark: SparkSession, path: str, schema: StructType | str, co
     """
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     lines = _placed(spark.read.text(path).withColumnRenamed("value", "line"))
-    heads = lines.where(F.col("_block") == 0).groupBy("_file").agg(
-        F.min(F.struct("_at", F.col("line").alias("_head"))).alias("_first")).select("_file", "_first._at", "_first._head")
-    rows = (lines.join(heads.withColumnRenamed("_at", "_head_at"), "_file").where((F.col("_at") != F.col("_head_at")) & (F.col("line") != ""))
-            .withColumn("_names", F.transform(_csv_cells("_head"), _plain)).withColumn("_cells", _csv_cells("line")))
+    rows = (_with_heads(lines).withColumn("_names", F.transform(_csv_cells("_head"), _plain)).withColumn("_cells", _csv_cells("line")))
 
     def cell(name: str) -> Column:
         text = F.try_element_at("_cells", F.nullif(F.array_position("_names", name), F.lit(0)).cast("int"))
@@ -71,13 +68,23 @@ def _plain(text: Column) -> Column:
 
 
 def read_wide_panel(spark: SparkSession, path: str, value: str = "value", zero_missing: bool = False) -> DataFrame:
-    """CSV with tickers in the header and dates in the first column."""
-    raw = spark.read.option("header", True).csv(path)
-    first, *symbols = raw.columns
-    cells = raw.select(F.col(first).cast("date").alias("date"), *[F.col(f"`{s}`") for s in symbols]).unpivot(
-        "date", [f"`{s}`" for s in symbols], "symbol", value)
-    number = null_if_nan(F.col(value).try_cast("double"))
-    return cells.withColumn(value, F.coalesce(number, F.lit(0.0)) if zero_missing else number)
+    """CSV with tickers in the header and dates in the first column; one file, or a folder of files with a header each (``write_wide``).
+
+    The header meets the lines as a row, so tickers are data and no list of columns is made.
+    """
+    lines = _placed(spark.read.option("recursiveFileLookup", True).text(path).withColumnRenamed("value", "line"))
+    rows = _with_heads(lines).withColumns({"_names": F.transform(_csv_cells("_head"), _plain), "_cells": _csv_cells("line")})
+    pairs = F.slice(F.arrays_zip(F.col("_names").alias("name"), F.col("_cells").alias("text")), F.lit(2), F.size("_names"))
+    cells = rows.select(_plain(F.get("_cells", F.lit(0))).try_cast("date").alias("date"), F.inline(pairs))
+    number = null_if_nan(_plain(F.col("text")).try_cast("double"))
+    return cells.select("date", F.col("name").alias("symbol"), (F.coalesce(number, F.lit(0.0)) if zero_missing else number).alias(value))
+
+
+def _with_heads(lines: DataFrame) -> DataFrame:
+    """Lines of ``_placed`` files with the first line of their file (``_head``); that line and empty ones are left out."""
+    heads = lines.where(F.col("_block") == 0).groupBy("_file").agg(
+        F.min(F.struct("_at", F.col("line").alias("_head"))).alias("_first")).select("_file", F.col("_first._at").alias("_head_at"), "_first._head")
+    return lines.join(heads, "_file").where((F.col("_at") != F.col("_head_at")) & (F.col("line") != ""))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
