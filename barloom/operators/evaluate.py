@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.functions.expr import deviation, guarded_corr, ratio
 from barloom.functions.logits import argmax_class, parse_logits, softmax
-from barloom.operators.ranking import average, value_ranks
+from barloom.operators.ranking import average, value_ranks, window_average
 
 
-def _ranked_pairs(df: DataFrame, pred: str, label: str) -> DataFrame:
+def _ranked_pairs(df: DataFrame, pred: str, label: str, small_groups: bool = False) -> DataFrame:
     """(date, _p, _l, _rp, _rl): rows with a missing side keep their date and count in no rank or sum."""
     both = F.col(pred).isNotNull() & F.col(label).isNotNull()
     pairs = df.select("date", F.when(both, F.col(pred)).alias("_p"), F.when(both, F.col(label)).alias("_l"))
+    if small_groups:
+        return pairs.select("*", window_average("_p", "_rp"), window_average("_l", "_rl"))
     ranks = [value_ranks(pairs, ["date"], x).select("date", x, average(out)) for x, out in (("_p", "_rp"), ("_l", "_rl"))]
     return pairs.join(ranks[0], ["date", "_p"], "left").join(ranks[1], ["date", "_l"], "left")
 
@@ -96,16 +98,16 @@ def with_softmax(df: DataFrame, logits: str = "logits", out: str = "prob") -> Da
     return df.withColumn(out, F.get(softmax(logits), F.lit(1)))
 
 
-def ic_by_day(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
+def ic_by_day(df: DataFrame, pred: str = "pred", label: str = "label", small_groups: bool = False) -> DataFrame:
     """(date, IC, IC_pearson). The plain and the rank correlation come from one aggregate over the ranked rows."""
-    return _ranked_pairs(df, pred, label).groupBy("date").agg(guarded_corr("_rp", "_rl").alias("IC"),
-                                                              guarded_corr("_p", "_l").alias("IC_pearson"))
+    return _ranked_pairs(df, pred, label, small_groups).groupBy("date").agg(guarded_corr("_rp", "_rl").alias("IC"),
+                                                                            guarded_corr("_p", "_l").alias("IC_pearson"))
 
 
 def evaluation_summary(df: DataFrame, pred: str = "pred", label: str = "label", pred_class: str = "pred_class",
-                       label_class: str = "label_class") -> DataFrame:
+                       label_class: str = "label_class", small_groups: bool = False) -> DataFrame:
     """One row: IC_mean, ICIR, IC_pearson, MAE, RMSE, Accuracy, F1_macro."""
-    days = ic_by_day(df, pred, label).agg(
+    days = ic_by_day(df, pred, label, small_groups).agg(
         F.avg("IC").alias("IC_mean"), ratio(F.avg("IC"), deviation("IC")).alias("ICIR"),
         F.avg("IC_pearson").alias("IC_pearson"))
     error = F.col(pred) - F.col(label)

@@ -5,6 +5,9 @@ order-preserving 64-bit key of the value. One aggregate counts distinct values p
 cells stay as they are and which are cut at 32 or, where even those are crowded, at 48 bits. A cell so holds at most CELL
 distinct values, or at most the 65,536 that share 48 bits. Counts of the cells give the offset of a cell, and only the inside of a cell is
 sorted. The cut depends on the values alone (counts, no sampling), so a replayed task gives the same answer.
+
+Where the caller has checked that no group is large (``small_groups``, see ``sizing.groups_fit``), a window by group does the same
+with one exchange.
 """
 
 from __future__ import annotations
@@ -90,14 +93,25 @@ def average(out: str) -> Column:
     return (F.col("below") + (F.col("n") + 1) / 2).alias(out)
 
 
-def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date",)) -> DataFrame:
+def window_average(value: str, out: str, by: Sequence[str] = ("date",)) -> Column:
+    """Average-of-ties rank by windows over whole groups."""
+    ties = F.count(value).over(Window.partitionBy(*by, value))
+    below = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
+    return F.when(F.col(value).isNotNull(), below + (ties - 1) / 2).alias(out)
+
+
+def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date",), small_groups: bool = False) -> DataFrame:
     """Average-of-ties rank of each row in its group; NULL stays NULL."""
+    if small_groups:
+        return df.select("*", window_average(value, out, by))
     ranks = value_ranks(df, by, value).select(*by, value, average(out))
     return df.join(ranks, [*by, value], "left").select(*df.columns, out)
 
 
-def exact_median(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date",)) -> DataFrame:
+def exact_median(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date",), small_groups: bool = False) -> DataFrame:
     """Median per group: the values covering the two middle positions."""
+    if small_groups:
+        return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias(out))
     ranks = value_ranks(df, by, value)
     upto = F.col("below") + F.col("n")
     low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
@@ -126,12 +140,15 @@ def _with_tie_cells(rows: DataFrame, keys: list[str], tie: str, hot: Column, lim
 
 
 def descending_row_number(df: DataFrame, value: str, out: str, total: str, by: Sequence[str] = ("date",),
-                          tie: str = "symbol") -> DataFrame:
+                          tie: str = "symbol", small_groups: bool = False) -> DataFrame:
     """Row number by value descending, then tie ascending, plus the group size; rows with NULL value are dropped.
 
     ``tie`` is a string or a non-negative integer. Sets of equal values larger than TIE_CELL are cut by the tie column.
     """
     by = list(by)
+    if small_groups:
+        known, group = df.where(F.col(value).isNotNull()), Window.partitionBy(*by)
+        return known.select("*", F.row_number().over(group.orderBy(F.desc(value), tie)).cast("bigint").alias(out), F.count("*").over(group).alias(total))
     ranks = value_ranks(df, by, value).select(
         *by, value, F.col("n").alias("_ties"), (F.col("total") - F.col("below") - F.col("n")).alias("_above"),
         F.col("total").alias(total))

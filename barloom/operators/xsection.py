@@ -43,12 +43,12 @@ def log_float_cap(df: DataFrame, close: str = "close", shares: str = "shares", o
 
 
 def cap_outliers_xs(df: DataFrame, column: str = "factor", n: float = 3.0, two_sided: bool = False,
-                    small_dates: bool = False) -> DataFrame:
+                    small_dates: bool = False, small_groups: bool = False) -> DataFrame:
     """Cap values above median + n * 1.4826 * mean absolute deviation, per date.
 
     The low side stays as it is unless ``two_sided``.
     """
-    median = exact_median(df, column, "_median")
+    median = exact_median(df, column, "_median", small_groups=small_groups)
     centred = join_per_date(df, median, how="left", small_dates=small_dates)
     spread = centred.groupBy("date").agg(F.avg(F.abs(F.col(column) - F.col("_median"))).alias("_spread"))
     joined = join_per_date(centred, spread, small_dates=small_dates)
@@ -96,14 +96,15 @@ def neutralise_cap(df: DataFrame, factor: str = "factor", log_cap: str = "log_ca
     return joined.withColumn(factor, F.col(factor) - F.col("_slope") * F.col(log_cap)).select(*df.columns)
 
 
-def factor_preprocess(df: DataFrame, dates: DataFrame, factor: str = "factor", small_dates: bool = False) -> DataFrame:
+def factor_preprocess(df: DataFrame, dates: DataFrame, factor: str = "factor", small_dates: bool = False,
+                      small_groups: bool = False) -> DataFrame:
     """Mask, cap, neutralise and standardise on the given dates (rebalance eves).
 
     ``df`` has symbol, date, factor, close and cap; the date filter comes first so nothing else is computed. Lazy: every step reads
     its input again for the statistics, so a caller whose ``df`` is expensive passes a stored one.
     """
     rows = join_per_date(df, dates.select("date"), how="left_semi", small_dates=small_dates)
-    rows = cap_outliers_xs(mask_missing_price(rows, factor), factor, small_dates=small_dates)
+    rows = cap_outliers_xs(mask_missing_price(rows, factor), factor, small_dates=small_dates, small_groups=small_groups)
     rows = neutralise_cap(rows.withColumn("log_cap", F.ln("cap")), factor, small_dates=small_dates)
     rows = rows.withColumn(factor, inf_to_null(factor))
     return cs_standardise(rows, [factor], small_dates).drop("log_cap")
@@ -113,9 +114,9 @@ def with_average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame
     return average_rank(df, value, out)
 
 
-def factor_layers(df: DataFrame, factor: str = "factor", layers: int = 5, tie: str = "symbol") -> DataFrame:
+def factor_layers(df: DataFrame, factor: str = "factor", layers: int = 5, tie: str = "symbol", small_groups: bool = False) -> DataFrame:
     """(date, symbol, layer, weight): equal slices of floor(count / layers) by factor descending, rest unassigned."""
-    ranked = descending_row_number(df.select("date", "symbol", factor), factor, "_rn", "_count", tie=tie)
+    ranked = descending_row_number(df.select("date", "symbol", factor), factor, "_rn", "_count", tie=tie, small_groups=small_groups)
     size = F.floor(F.col("_count") / layers)
     layer = F.floor(ratio(F.col("_rn") - 1, size)).cast("int")
     return (ranked.where(F.col("_rn") <= size * layers)

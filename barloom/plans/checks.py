@@ -638,15 +638,17 @@ CTE["stacked"] = f"""
                  case when l.fwd_ret > 0 then 1.0 else 0.0 end]) as v
   from features f join labels l using (symbol, date)"""
 _AS_OF = "max(p.date) filter (where place = 19) as as_of"
+CTE["vector_sums"] = "select symbol, date, sum(v * (feature + 1)) as v from stacked group by symbol, date"
 check("G7_model_windows", f"""
-  select p.split, p.symbol, cast(p.i - place as integer) as sample, {_AS_OF}, feature,
+  select p.split, p.symbol, cast(p.i - place as integer) as sample, {_AS_OF},
          {r('sum(case when place < 20 then v * (place + 1) else 0 end)', 'x', 3)}, {r('sum(case when place >= 20 then v * (place - 19) else 0 end)', 'y', 3)}
-  from placed p join stacked s on s.symbol = p.symbol and s.date = p.date group by p.split, p.symbol, p.i - place, feature""")
-check("G7_indicator_code_windows", """
-  select split, symbol, cast(i - place as integer) as sample, case when place < 20 then 'x' else 'y' end as part,
-         cast(case when place < 20 then place else place - 20 end as integer) as i, cast(fwd_ret > 0 as integer) as trend,
-         cast(month_code as integer) as month_code, cast(day_code as integer) as day_code from placed join coded using (date)""")
-_totals = ", ".join(r(f"sum(case when part = '{side}' then {part} * (i + 1) else 0 end)", f"{side}_{part}") for side in ("x", "y") for part in ("low", "high"))
+  from placed p join vector_sums s on s.symbol = p.symbol and s.date = p.date group by p.split, p.symbol, p.i - place""")
+_code_sums = ", ".join(r(f"sum(case when {side} then {x} * {weight} else 0 end)", f"{name}_{c}") for name, side, weight in (
+    ("x", "place < 20", "(place + 1)"), ("y", "place >= 20", "(place - 19)"))
+    for c, x in (("trend", "cast(fwd_ret > 0 as integer)"), ("month_code", "month_code"), ("day_code", "day_code")))
+check("G7_indicator_code_windows", f"""
+  select split, symbol, cast(i - place as integer) as sample, {_code_sums} from placed join coded using (date) group by split, symbol, i - place""")
+_totals = ", ".join(r(f"sum(case when part = '{side}' then {part} * (s.i + 1) else 0 end)", f"{side}_{part}") for side in ("x", "y") for part in ("low", "high"))
 check("G9_model_split", f"""
   select s.split, s.symbol, cast(s.sample as integer) as sample, t.date as as_of, {_totals} from ({_sides}) s
   join slots t on t.split = s.split and t.symbol = s.symbol and t.i = s.sample + 19 group by s.split, s.symbol, s.sample, t.date""")

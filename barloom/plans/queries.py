@@ -432,9 +432,10 @@ def _(spark, sf):
 
 @query("F6_factor_preprocess", 5)
 def _(spark, sf):
-    rows = V.factors(spark, sf).select("date", "symbol", "factor", "close", "cap")
     eves = nav.rebalance_calendar(V.panel(spark, sf)).select(F.col("eve").alias("date"))
-    return xsection.factor_preprocess(rows, eves, small_dates=fits(spark, sf)).select("date", "symbol", "factor")
+    rows = V.stored(spark, sf, "eve-factors", lambda: sizing.join_per_date(
+        V.factors(spark, sf).select("date", "symbol", "factor", "close", "cap"), eves, how="left_semi", small_dates=fits(spark, sf)))
+    return xsection.factor_preprocess(rows, eves, small_dates=fits(spark, sf), small_groups=V.small_groups(spark, sf)).select("date", "symbol", "factor")
 
 
 @query("F7_average_rank")
@@ -446,7 +447,7 @@ def _(spark, sf):
 @query("F8_factor_layers")
 def _(spark, sf):
     rows = V.bars(spark, sf).select("symbol", "date", F.col("volume").alias("factor"))
-    return xsection.factor_layers(rows, layers=5)
+    return xsection.factor_layers(rows, layers=5, small_groups=V.small_groups(spark, sf))
 
 
 @query("F9_top_k")
@@ -509,29 +510,23 @@ def _model_samples(spark, sf) -> DataFrame:
     return pipeline.model_input(V.panel(spark, sf), small_dates=fits(spark, sf))
 
 
+def _weighted(column, of=lambda v: v):
+    """Sum of an array's elements, each weighted by its place from 1, which shows their order."""
+    return F.aggregate(F.transform(column, lambda v, i: of(v) * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
 @query("G7_model_windows", 3)
 def _(spark, sf):
-    """Windows of the 71 stacked features: per feature the sums of its twenty past and two following values, weighted by their place."""
-    def sums(side):
-        """One number per feature from an array of vectors; the weight shows the order of the window."""
-        zero = F.array_repeat(F.lit(0.0), len(features.FEATURES) + 2)
-        weighted = F.transform(F.col(f"{side}_features"), lambda v, i: F.transform(v, lambda x: x * (i + 1)))
-        return F.aggregate(weighted, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-
-    cells = F.posexplode(F.arrays_zip(sums("x").alias("x"), sums("y").alias("y")))
-    rows = _model_samples(spark, sf).select("split", "symbol", "sample", "as_of", cells.alias("feature", "z"))
-    return rows.select("split", "symbol", "sample", "as_of", "feature", "z.x", "z.y")
+    """Windows of the 71 stacked features: per sample the sums of the past and of the following vectors, weighted by place and by feature."""
+    return _model_samples(spark, sf).select("split", "symbol", "sample", "as_of",
+                                            *[_weighted(F.col(f"{side}_features"), _weighted).alias(side) for side in ("x", "y")])
 
 
 @query("G7_indicator_code_windows")
 def _(spark, sf):
-    """Windows of the indicator and of the calendar codes, one row per place."""
-    parts = []
-    for side in ("x", "y"):
-        zipped = F.arrays_zip(*[F.col(f"{side}_{c}").alias(c) for c in ("trend", "month_code", "day_code")])
-        parts.append(F.transform(zipped, lambda z, i: F.struct(F.lit(side).alias("part"), i.alias("i"), z["trend"].alias("trend"),
-                                                               z["month_code"].alias("month_code"), z["day_code"].alias("day_code"))))
-    return _model_samples(spark, sf).select("split", "symbol", "sample", F.inline(F.flatten(F.array(*parts))))
+    """Windows of the indicator and of the calendar codes, per sample their sums weighted by place."""
+    names = [f"{side}_{c}" for side in ("x", "y") for c in ("trend", "month_code", "day_code")]
+    return _model_samples(spark, sf).select("split", "symbol", "sample", *[_weighted(F.col(c)).alias(c) for c in names])
 
 
 @query("G8_temporal_codes")
@@ -565,11 +560,8 @@ def _(spark, sf):
 @query("G9_model_split")
 def _(spark, sf):
     """Wavelet parts of the returns of each model sample, per window their sums weighted by place."""
-    def total(column):
-        return F.aggregate(F.transform(F.col(column), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-
     names = [f"{side}_fwd_ret_{part}" for side in ("x", "y") for part in ("low", "high")]
-    return _model_samples(spark, sf).select("split", "symbol", "sample", "as_of", *[total(c).alias(c.replace("_fwd_ret", "")) for c in names])
+    return _model_samples(spark, sf).select("split", "symbol", "sample", "as_of", *[_weighted(F.col(c)).alias(c.replace("_fwd_ret", "")) for c in names])
 
 
 @query("G10_model_table", 4)
@@ -720,12 +712,12 @@ def _(spark, sf):
 
 @query("J9_evaluation_summary")
 def _(spark, sf):
-    return evaluate.evaluation_summary(V.judged(spark, sf))
+    return evaluate.evaluation_summary(V.judged(spark, sf), small_groups=V.small_groups(spark, sf))
 
 
 @query("J9_ic_by_day")
 def _(spark, sf):
-    return evaluate.ic_by_day(V.judged(spark, sf))
+    return evaluate.ic_by_day(V.judged(spark, sf), small_groups=V.small_groups(spark, sf))
 
 
 # Portfolio and backtest.

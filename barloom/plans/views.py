@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.functions.frames import lagged, trailing
 from barloom.functions.expr import ratio
 from barloom.operators import align, clean, targets, xsection
-from barloom.operators.sizing import dates_fit
+from barloom.operators.sizing import dates_fit, groups_fit
 
 FIELDS = list(clean.PRICE_FIELDS)
 UNITS = {"week": "week", "month": "month", "day": None}
@@ -30,6 +30,16 @@ def small_dates(spark: SparkSession, sf: str, source: str = "lineitem", time: st
     return _fits[sf, source]
 
 
+_groups: dict[str, bool] = {}
+
+
+def small_groups(spark: SparkSession, sf: str) -> bool:
+    """Checked once per table: is every date's universe small enough for one task?"""
+    if sf not in _groups:
+        _groups[sf] = groups_fit(bars(spark, sf))
+    return _groups[sf]
+
+
 def _ohlc(rows: DataFrame, order: Column) -> DataFrame:
     """First, highest, lowest, last price and volume per symbol and date; every aggregate combines map-side."""
     return rows.groupBy("symbol", "date").agg(
