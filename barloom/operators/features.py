@@ -47,8 +47,8 @@ FEATURES = (
     + [f"DIST_SMA{w}" for w in DIST_WINDOWS] + ["DAILY_RET", f"VOL_norm_{VOL_NORM_WINDOW}", "HL_SPREAD", "CO_RET"])
 
 
-AGGREGATES = {"sum": F.sum, "sd": F.stddev_samp, "max": F.max, "min": F.min}
 HL = (("max", "high"), ("min", "low"))
+WALKED = {"sd": F.stddev_samp, "max": F.max, "min": F.min}
 
 
 def _stat(agg: str, x: str, k: int) -> Column:
@@ -59,25 +59,31 @@ def _stat(agg: str, x: str, k: int) -> Column:
 def _with_stats(df: DataFrame, wanted: Sequence[tuple[str, str, int]]) -> DataFrame:
     """Add the trailing statistics the table does not have yet, NULL until k values are present.
 
-    Presence is the difference of two running counts, so only the statistic itself walks its frame; families that
+    Counts and sums over k rows are differences of running ones, so their cost does not grow with k. Deviations and extremes walk their
+    frames: as a difference of running squares a deviation loses digits where prices moved far from their first level. Families that
     share a statistic (SMA and bands, channels and oscillators) find it there.
     """
     wanted = list(dict.fromkeys(("sum" if a == "avg" else a, x, k) for a, x, k in wanted))
     missing = [(a, x, k) for a, x, k in wanted if f"_{a}_{x}_{k}" not in df.columns]
-    uncounted = [x for x in dict.fromkeys(x for _, x, _ in missing) if f"_n_{x}" not in df.columns]
-    df = df.withColumns({f"_n_{x}": F.count(x).over(to_date()) for x in uncounted}) if uncounted else df
-    full = {(x, k): f"_full_{x}_{k}" for _, x, k in missing}
-    df = df.withColumns({c: F.col(f"_n_{x}") - F.coalesce(lagged(f"_n_{x}", k), F.lit(0)) == k
-                         for (x, k), c in full.items() if c not in df.columns}) if full else df
-    return df.withColumns({f"_{a}_{x}_{k}": F.when(F.col(full[x, k]), AGGREGATES[a](x).over(trailing(k)))
-                           for a, x, k in missing}) if missing else df
+    running = {f"_n_{x}": F.count(x).over(to_date()) for _, x, _ in missing} | {f"_s_{x}": F.sum(x).over(to_date()) for a, x, _ in missing if a == "sum"}
+    running = {n: c for n, c in running.items() if n not in df.columns}
+    df = df.withColumns(running) if running else df
+
+    def over(total: str, k: int) -> Column:
+        return F.col(total) - F.coalesce(lagged(total, k), F.lit(0))
+
+    made = {f"_{a}_{x}_{k}": F.when(over(f"_n_{x}", k) == k, over(f"_s_{x}", k) if a == "sum" else WALKED[a](x).over(trailing(k)))
+            for a, x, k in missing}
+    return df.withColumns(made) if made else df
 
 
 def roc(df: DataFrame, windows: Sequence[int] = ROC_WINDOWS) -> DataFrame:
     """Percent change over w rows of the forward-filled close."""
-    df = df.withColumn("_filled", forward_fill("close"))
-    return df.withColumns({f"ROC_{w}": (ratio("_filled", lagged("_filled", w)) - 1) * 100
-                           for w in windows}).drop("_filled")
+    return _added(df, df.withColumn("_filled", forward_fill("close")), _roc(windows))
+
+
+def _roc(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"ROC_{w}": (ratio("_filled", lagged("_filled", w)) - 1) * 100 for w in windows}
 
 
 def _moves(df: DataFrame) -> DataFrame:
@@ -118,11 +124,15 @@ def _bollinger_stats(windows):
 
 
 def bollinger(df: DataFrame, windows: Sequence[int] = BB_WINDOWS, width: float = 2.0) -> DataFrame:
+    return _added(df, _with_stats(df, _bollinger_stats(windows)), _bollinger(windows, width))
+
+
+def _bollinger(windows: Sequence[int], width: float = 2.0) -> dict[str, Column]:
     made = {}
     for w in windows:
         mid, reach = _stat("avg", "close", w), width * _stat("sd", "close", w)
         made |= {f"BB_upper_{w}": mid + reach, f"BB_lower_{w}": mid - reach, f"BB_width_{w}": (mid + reach) - (mid - reach)}
-    return _added(df, _with_stats(df, _bollinger_stats(windows)), made)
+    return made
 
 
 def _added(df: DataFrame, worked: DataFrame, made: dict[str, Column]) -> DataFrame:
@@ -130,115 +140,187 @@ def _added(df: DataFrame, worked: DataFrame, made: dict[str, Column]) -> DataFra
     return worked.select(*df.columns, *[c.alias(n) for n, c in made.items()])
 
 
+def _volume_stats(windows):
+    return [("avg", "volume", w) for w in windows]
+
+
 def volume_ratio(df: DataFrame, windows: Sequence[int] = VOL_WINDOWS) -> DataFrame:
-    return _added(df, _with_stats(df, [("avg", "volume", w) for w in windows]),
-                  {f"VOL_ratio_{w}": ratio("volume", _stat("avg", "volume", w)) for w in windows})
+    return _added(df, _with_stats(df, _volume_stats(windows)), _volume_ratio(windows))
+
+
+def _volume_ratio(windows: Sequence[int], name: str = "VOL_ratio") -> dict[str, Column]:
+    return {f"{name}_{w}": ratio("volume", _stat("avg", "volume", w)) for w in windows}
 
 
-def _true_range(df: DataFrame) -> DataFrame:
+def _range() -> Column:
     before = lagged("close")
-    return df.withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before),
-                                              F.abs(F.col("low") - before)))
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+
+
+def _atr_stats(windows):
+    return [("avg", "_range", w) for w in windows]
 
 
 def atr(df: DataFrame, windows: Sequence[int] = ATR_WINDOWS) -> DataFrame:
     """Mean true range; missing parts of the range are skipped."""
-    worked = _with_stats(_true_range(df), [("avg", "_range", w) for w in windows])
-    return _added(df, worked, {f"ATR_{w}": _stat("avg", "_range", w) for w in windows})
+    return _added(df, _with_stats(df.withColumn("_range", _range()), _atr_stats(windows)), _atr(windows))
+
+
+def _atr(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"ATR_{w}": _stat("avg", "_range", w) for w in windows}
 
 
 def obv(df: DataFrame) -> DataFrame:
     """Running sum of volume signed by the close change; an unknown change counts 0, a missing volume leaves NULL."""
-    side = F.coalesce(F.signum(F.col("close") - lagged("close")), F.lit(0.0))
-    df = df.withColumn("_signed", side * F.col("volume"))
-    return df.withColumn("OBV", F.when(F.col("_signed").isNotNull(), F.sum("_signed").over(to_date()))).drop("_signed")
+    return _added(df, df.withColumn("_signed", _signed()), _obv())
+
+
+def _signed() -> Column:
+    return F.coalesce(F.signum(F.col("close") - lagged("close")), F.lit(0.0)) * F.col("volume")
+
+
+def _obv() -> dict[str, Column]:
+    return {"OBV": F.when(F.col("_signed").isNotNull(), F.sum("_signed").over(to_date()))}
+
+
+def _extremes(windows):
+    return [(a, x, w) for w in windows for a, x in HL]
 
 
 def stochastic(df: DataFrame, windows: Sequence[int] = STOCH_WINDOWS, smooth: int = 3) -> DataFrame:
-    worked = _with_stats(df, [(a, x, w) for w in windows for a, x in HL])
-    worked = worked.withColumns({f"STOCH_K_{w}": 100 * ratio(
-        F.col("close") - _stat("min", "low", w), _stat("max", "high", w) - _stat("min", "low", w)) for w in windows})
-    worked = _with_stats(worked, [("avg", f"STOCH_K_{w}", smooth) for w in windows])
-    made = {}
-    for w in windows:
-        made |= {f"STOCH_K_{w}": F.col(f"STOCH_K_{w}"), f"STOCH_D_{w}": _stat("avg", f"STOCH_K_{w}", smooth)}
-    return _added(df, worked, made)
+    return _added(df, _with_stats(df, _extremes(windows)), _stoch_k(windows)).withColumns(_stoch_d(windows, smooth))
+
+
+def _stoch_k(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"STOCH_K_{w}": 100 * ratio(F.col("close") - _stat("min", "low", w), _stat("max", "high", w) - _stat("min", "low", w)) for w in windows}
+
+
+def _stoch_d(windows: Sequence[int], smooth: int = 3) -> dict[str, Column]:
+    """Mean of the last values of K; NULL while one is missing."""
+    return {f"STOCH_D_{w}": reduce(lambda a, b: a + b, [lagged(f"STOCH_K_{w}", i) for i in range(smooth)]) / smooth for w in windows}
 
 
 def williams(df: DataFrame, windows: Sequence[int] = WILLR_WINDOWS) -> DataFrame:
-    worked = _with_stats(df, [(a, x, w) for w in windows for a, x in HL])
-    return _added(df, worked, {f"WILLR_{w}": -100 * ratio(
-        _stat("max", "high", w) - F.col("close"), _stat("max", "high", w) - _stat("min", "low", w)) for w in windows})
+    return _added(df, _with_stats(df, _extremes(windows)), _williams(windows))
+
+
+def _williams(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"WILLR_{w}": -100 * ratio(
+        _stat("max", "high", w) - F.col("close"), _stat("max", "high", w) - _stat("min", "low", w)) for w in windows}
+
+
+def _typical() -> Column:
+    return (F.col("high") + F.col("low") + F.col("close")) / 3
+
+
+def _typical_past(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"_past{i}": lagged("_typical", i) for i in range(max(windows))}
+
+
+def _cci_stats(windows):
+    return [("avg", "_typical", w) for w in windows]
 
 
 def cci(df: DataFrame, windows: Sequence[int] = CCI_WINDOWS) -> DataFrame:
     """Distance of the typical price from its mean in mean absolute deviations of that window."""
-    worked = df.withColumn("_typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    worked = worked.withColumns({f"_past{i}": lagged("_typical", i) for i in range(max(windows))})
-    worked = _with_stats(worked, [("avg", "_typical", w) for w in windows])
+    worked = df.withColumn("_typical", _typical()).withColumns(_typical_past(windows))
+    return _added(df, _with_stats(worked, _cci_stats(windows)), _cci(windows))
+
+
+def _cci(windows: Sequence[int]) -> dict[str, Column]:
     made = {}
     for w in windows:
         mean = _stat("avg", "_typical", w)
         spread = reduce(lambda a, b: a + b, [F.abs(F.col(f"_past{i}") - mean) for i in range(w)]) / w
         made[f"CCI_{w}"] = F.when(mean.isNotNull(), (F.col("_typical") - mean)
                                   / (0.015 * F.greatest(spread, F.lit(FLAT))))
-    return _added(df, worked, made)
+    return made
 
 
 def donchian(df: DataFrame, windows: Sequence[int] = DC_WINDOWS) -> DataFrame:
+    return _added(df, _with_stats(df, _extremes(windows)), _donchian(windows))
+
+
+def _donchian(windows: Sequence[int]) -> dict[str, Column]:
     made = {}
     for w in windows:
         high, low = _stat("max", "high", w), _stat("min", "low", w)
         made |= {f"DC_upper_{w}": high, f"DC_lower_{w}": low, f"DC_width_{w}": high - low}
-    return _added(df, _with_stats(df, [(a, x, w) for w in windows for a, x in HL]), made)
+    return made
 
 
 def momentum(df: DataFrame, windows: Sequence[int] = MOM_WINDOWS) -> DataFrame:
-    return df.withColumns({f"MOM_{w}": F.col("close") - lagged("close", w) for w in windows})
+    return df.withColumns(_momentum(windows))
+
+
+def _momentum(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"MOM_{w}": F.col("close") - lagged("close", w) for w in windows}
 
 
 def sma(df: DataFrame, windows: Sequence[int] = SMA_WINDOWS) -> DataFrame:
-    return _added(df, _with_stats(df, [("avg", "close", w) for w in windows]),
-                  {f"SMA_{w}": _stat("avg", "close", w) for w in windows})
+    return _added(df, _with_stats(df, [("avg", "close", w) for w in windows]), _sma(windows))
+
+
+def _sma(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"SMA_{w}": _stat("avg", "close", w) for w in windows}
 
 
 def sma_distance(df: DataFrame, windows: Sequence[int] = DIST_WINDOWS) -> DataFrame:
-    made = {f"DIST_SMA{w}": ratio(F.col("close") - _stat("avg", "close", w), _stat("avg", "close", w)) for w in windows}
-    return _added(df, _with_stats(df, [("avg", "close", w) for w in windows]), made)
+    return _added(df, _with_stats(df, [("avg", "close", w) for w in windows]), _sma_distance(windows))
+
+
+def _sma_distance(windows: Sequence[int]) -> dict[str, Column]:
+    return {f"DIST_SMA{w}": ratio(F.col("close") - _stat("avg", "close", w), _stat("avg", "close", w)) for w in windows}
 
 
 def daily_return(df: DataFrame) -> DataFrame:
-    return df.withColumn("DAILY_RET", ratio("close", lagged("close")) - 1)
+    return df.withColumns(_daily_return())
+
+
+def _daily_return() -> dict[str, Column]:
+    return {"DAILY_RET": ratio("close", lagged("close")) - 1}
 
 
 def volume_norm(df: DataFrame, window: int = VOL_NORM_WINDOW) -> DataFrame:
-    return _added(df, _with_stats(df, [("avg", "volume", window)]),
-                  {f"VOL_norm_{window}": ratio("volume", _stat("avg", "volume", window))})
+    return _added(df, _with_stats(df, _volume_stats([window])), _volume_ratio([window], "VOL_norm"))
 
 
 def high_low_spread(df: DataFrame) -> DataFrame:
-    return df.withColumn("HL_SPREAD", ratio(F.col("high") - F.col("low"), "close"))
+    return df.withColumns(_day_shape(("HL_SPREAD",)))
 
 
 def close_open_return(df: DataFrame) -> DataFrame:
-    return df.withColumn("CO_RET", ratio(F.col("close") - F.col("open"), "open"))
+    return df.withColumns(_day_shape(("CO_RET",)))
+
+
+def _day_shape(names: Sequence[str] = ("HL_SPREAD", "CO_RET")) -> dict[str, Column]:
+    made = {"HL_SPREAD": ratio(F.col("high") - F.col("low"), "close"), "CO_RET": ratio(F.col("close") - F.col("open"), "open")}
+    return {n: made[n] for n in names}
 
 
 def compute_features(bars: DataFrame) -> DataFrame:
-    """All 69 columns, warm-up NULLs kept. The EWM series of RSI, EMA and MACD share one pass of ``ewm``."""
+    """All 69 columns, warm-up NULLs kept.
+
+    The EWM series of RSI, EMA and MACD share one pass of ``ewm``; all families share the layers of windows, so the plan has as many
+    steps as one family's. The exchange by symbol has a fixed number of tasks, since rows grow to 69 columns behind it.
+    """
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fast, slow, signal = MACD_SPANS
-    df = ewm(_moves(bars), *_rsi_series(RSI_WINDOWS), *[Ewm(f"EMA_{s}", "close", span_alpha(s)) for s in EMA_SPANS],
+    df = ewm(_moves(bars.repartition(tasks, "symbol")), *_rsi_series(RSI_WINDOWS), *[Ewm(f"EMA_{s}", "close", span_alpha(s)) for s in EMA_SPANS],
              Ewm("_fast", "close", span_alpha(fast)), Ewm("_slow", "close", span_alpha(slow)))
     df = df.select(*bars.columns, *[f"EMA_{s}" for s in EMA_SPANS], (F.col("_fast") - F.col("_slow")).alias("MACD"),
                    *[_rsi(w).alias(f"RSI_{w}") for w in RSI_WINDOWS])
     df = ewm(df, Ewm("MACD_signal", "MACD", span_alpha(signal)))
-    df = df.withColumn("MACD_hist", F.col("MACD") - F.col("MACD_signal"))
-    df = _with_stats(df, [*_bollinger_stats(BB_WINDOWS), *[("avg", "close", w) for w in SMA_WINDOWS],
-                          *[("avg", "volume", w) for w in (*VOL_WINDOWS, VOL_NORM_WINDOW)],
-                          *[(a, x, w) for w in sorted({*STOCH_WINDOWS, *WILLR_WINDOWS, *DC_WINDOWS}) for a, x in HL]])
-    for family in (roc, bollinger, volume_ratio, atr, obv, stochastic, williams, cci, donchian, momentum, sma,
-                   sma_distance, daily_return, volume_norm, high_low_spread, close_open_return):
-        df = family(df)
+    df = df.withColumns({"_filled": forward_fill("close"), "_range": _range(), "_typical": _typical(), "_signed": _signed()})
+    df = _with_stats(df.withColumns(_typical_past(CCI_WINDOWS)), [
+        *_bollinger_stats(BB_WINDOWS), *[("avg", "close", w) for w in (*SMA_WINDOWS, *DIST_WINDOWS)], *_volume_stats((*VOL_WINDOWS, VOL_NORM_WINDOW)),
+        *_atr_stats(ATR_WINDOWS), *_cci_stats(CCI_WINDOWS), *_extremes(sorted({*STOCH_WINDOWS, *WILLR_WINDOWS, *DC_WINDOWS}))])
+    made = {"MACD_hist": F.col("MACD") - F.col("MACD_signal"), **_roc(ROC_WINDOWS), **_bollinger(BB_WINDOWS), **_volume_ratio(VOL_WINDOWS),
+            **_atr(ATR_WINDOWS), **_obv(), **_stoch_k(STOCH_WINDOWS), **_williams(WILLR_WINDOWS), **_cci(CCI_WINDOWS), **_donchian(DC_WINDOWS),
+            **_momentum(MOM_WINDOWS), **_sma(SMA_WINDOWS), **_sma_distance(DIST_WINDOWS), **_daily_return(),
+            **_volume_ratio([VOL_NORM_WINDOW], "VOL_norm"), **_day_shape()}
+    known = [*bars.columns, *(c for c in FEATURES if c in df.columns)]
+    df = df.select(*known, *[c.alias(n) for n, c in made.items()]).withColumns(_stoch_d(STOCH_WINDOWS))
     return df.select(*bars.columns, *FEATURES)
 
 
