@@ -656,13 +656,12 @@ CTE["tagged_labels"] = """
   select *, case when pos < floor(0.75 * n) then 'train' when pos < floor(0.875 * n) then 'val' else 'test' end as split from split"""
 _z = ", ".join(f"(f.{n} - avg(f.{n}) over w) / case when stddev_samp(f.{n}) over w >= 1e-8 then stddev_samp(f.{n}) over w else 1 end as {n}" for n in FT.FEATURES)
 CTE["scaled_features"] = f"select f.symbol, f.date, {_z} from feature_filled f window w as (partition by f.date)"
+_cells71 = ", ".join([*(f"coalesce(cast(f.{n} as double), 0)" for n in sorted(FT.FEATURES)), "l.fwd_ret", "case when l.fwd_ret > 0 then 1.0 else 0.0 end"])
 check("G10_model_table", f"""
-  select symbol, date, split, feature, {r('v', 'value', 4)} from (
-    select f.symbol, f.date, l.split, unnest(range({len(FT.FEATURES) + 2})::integer[]) as feature,
-           unnest([{', '.join(f'coalesce(cast(f.{n} as double), 0)' for n in sorted(FT.FEATURES))}, coalesce(l.fwd_ret, 0),
-                   case when l.fwd_ret > 0 then 1.0 else 0.0 end]) as v
-    from scaled_features f join tagged_labels l using (symbol, date)
-    where f.date in (select date from (select date, row_number() over (order by date) as pos from (select distinct date from feature_filled)) where pos > 60))""")
+  select f.symbol, f.date, l.split, {r('l.fwd_ret', 'fwd_ret', 4)}, cast(l.fwd_ret > 0 as integer) as trend,
+         {r(f'list_sum(list_transform([{_cells71}], lambda x, i: x * i))', 'features', 4)}
+  from scaled_features f join tagged_labels l using (symbol, date)
+  where f.date in (select date from (select date, row_number() over (order by date) as pos from (select distinct date from feature_filled)) where pos > 60)""")
 
 check("H1_correlation_matrix", f"select src, dst, {r('weight', 'weight')} from links")
 check("H2_correlation_edges", f"select src, dst, {r('weight', 'weight')} from links where abs(weight) > 0.1")

@@ -17,13 +17,14 @@ def clean_bars(bars: DataFrame, fill: int = 5, sparse: float = 0.05, small_dates
     return clean.drop_sparse_symbols(clean.ffill_limit(full, n=fill), limit=sparse)
 
 
-def model_table(bars: DataFrame, small_dates: bool = False) -> DataFrame:
+def model_table(bars: DataFrame, matrix: DataFrame | None = None, small_dates: bool = False) -> DataFrame:
     """(symbol, date, fwd_ret, trend, split, features): z-scored features with return and trend, tagged train / val / test.
 
     The split counts the dates of the labels, as the pipeline stores it; the first dates have labels but, for the warm-up, no features.
-    ``bars`` are cleaned bars (``clean_bars``), from which both features and labels are made.
+    ``bars`` are cleaned bars (``clean_bars``), from which both features and labels are made. The z-score reads the feature matrix twice; a
+    caller may pass a stored one (``features.build_feature_matrix`` of the same bars).
     """
-    table = features.build_feature_matrix(bars, small_dates=small_dates)
+    table = features.build_feature_matrix(bars, small_dates=small_dates) if matrix is None else matrix
     scaled = xsection.cs_zscore(table, features.FEATURES, small_dates)
     labels = targets.trend_indicator(targets.forward_return(bars, small_dates=small_dates))
     tagged = targets.split_by_position(labels, small_dates=small_dates)

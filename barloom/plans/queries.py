@@ -566,10 +566,11 @@ def _(spark, sf):
 
 @query("G10_model_table", 4)
 def _(spark, sf):
-    """Bars to the tagged model table in one plan: clean, features, z-score, labels, split; one row per feature."""
-    bars = clean.ffill_bfill(pipeline.clean_bars(V.bars(spark, sf), small_dates=fits(spark, sf)))
-    table = pipeline.model_table(bars, small_dates=fits(spark, sf))
-    return table.select("symbol", "date", "split", F.posexplode("features").alias("feature", "value"))
+    """Bars to the tagged model table: clean, features, z-score, labels, split; the 71 values of a row as a sum weighted by place."""
+    bars = V.stored(spark, sf, "clean-bars", lambda: clean.ffill_bfill(pipeline.clean_bars(V.bars(spark, sf), small_dates=fits(spark, sf))))
+    matrix = V.stored(spark, sf, "feature-matrix", lambda: features.build_feature_matrix(bars, small_dates=fits(spark, sf)))
+    table = pipeline.model_table(bars, matrix, small_dates=fits(spark, sf))
+    return table.select("symbol", "date", "split", "fwd_ret", "trend", _weighted(F.col("features")).alias("features"))
 
 
 # Graph.
@@ -599,10 +600,16 @@ def _(spark, sf):
     return graph.normalised_laplacian(*_links(spark, sf))
 
 
+def _spectral(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The Laplacian and its four leading eigenpairs."""
+    laplacian = V.stored(spark, sf, "laplacian", lambda: graph.normalised_laplacian(*_links(spark, sf)))
+    return laplacian, V.stored(spark, sf, "spectral", lambda: graph.spectral_vectors(laplacian, 4))
+
+
 @query("H5_spectral_vectors", 4)
 def _(spark, sf):
     """Four leading eigenpairs; the sign of a vector is free, so squares are shown."""
-    pairs = graph.spectral_vectors(graph.normalised_laplacian(*_links(spark, sf)), 4)
+    pairs = _spectral(spark, sf)[1]
     return pairs.select("symbol", F.posexplode(F.zip_with("vector", "values", lambda v, x: F.struct(
         (v * v).alias("square"), x.alias("value")))).alias("rank", "z")).select("symbol", "rank", "z.square", "z.value")
 
@@ -610,15 +617,13 @@ def _(spark, sf):
 @query("H5_spectral_residual", 4)
 def _(spark, sf):
     """How far L v is from value * v, per symbol and pair."""
-    laplacian = graph.normalised_laplacian(*_links(spark, sf))
-    residuals = graph.eigen_residuals(laplacian, graph.spectral_vectors(laplacian, 4))
-    return residuals.select("symbol", "rank", F.abs("residual").alias("residual"))
+    return graph.eigen_residuals(*_spectral(spark, sf)).select("symbol", "rank", F.abs("residual").alias("residual"))
 
 
 @query("H5_spectral_gram", 4)
 def _(spark, sf):
     """Inner products of the eigenvectors, and whether their values fall in size."""
-    pairs = graph.spectral_vectors(graph.normalised_laplacian(*_links(spark, sf)), 4)
+    pairs = _spectral(spark, sf)[1]
     sums = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col("vector")[i] * F.col("vector")[j]).alias("product"),
                      F.min(F.abs(F.col("values")[i]) >= F.abs(F.col("values")[j])).alias("ordered")) for i in range(4) for j in range(i, 4)]
     return pairs.agg(F.array(*sums).alias("_s")).select(F.inline("_s"))
