@@ -29,6 +29,7 @@ import hashlib
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,13 +48,17 @@ NODE = 1 << 24
 DEPTH = 60
 TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z])[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
                  r"|<([a-zA-Z][^\s/>]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?=>)|[^>]*)>?", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: one attribute after the other from the left: what stands in a value or behind data- is no name
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary "
                    "table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
+#: no running text outside an article only
+LOOSE_TAGS = frozenset("fieldset object math label".split())
 JUNK_TAGS = frozenset("head nav footer aside form button select option dialog menu fieldset object svg canvas audio video math label".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies "
                        "consent gdpr notice notices alert disclaimer nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot "
@@ -80,21 +85,34 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block node they belong to
-        pieces, links, at, n = self.pieces, 0, 0, len(source)
+        opened = Counter()  # how many of a kind are open: what is not open is not searched for
+        pieces, at, n = self.pieces, 0, len(source)
+
+        def cut(k: int) -> None:
+            opened.subtract(t for t, _ in stack[k:])
+            del stack[k:]
+
+        def close(kinds: tuple[str, ...]) -> None:
+            if any(opened[t] > 0 for t in kinds):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in kinds:
+                        return cut(k)
+                    if stack[k][0] in SCOPE:
+                        return
+
         while at < n:
             m = TAG.search(source, at)
             end = m.start() if m else n
             if end > at:
-                pieces.append((stack[-1][1], entities.unescape(source[at:end]), links > 0))
+                pieces.append((stack[-1][1], entities.unescape(source[at:end]), opened["a"] > 0))
             if not m:
                 break
             at = m.end()
             if m[1]:
                 tag = m[1].lower()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if opened[tag] > 0 else 0, 0, -1):
                     if stack[k][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
+                        cut(k)
                         break
                     if tag not in SCOPE and stack[k][0] in SCOPE:
                         break
@@ -103,42 +121,25 @@ class Page:
             elif m[2]:
                 tag = m[2].lower()
                 if tag == "br":
-                    pieces.append((stack[-1][1], " ", links > 0))
+                    pieces.append((stack[-1][1], " ", opened["a"] > 0))
                 if tag in BLOCKS:
                     pieces.append((-1, "", False))
-                    self._close(stack, ("p",))
+                    close(("p",))
                     if tag in CLOSES:
-                        self._close(stack, CLOSES[tag])
-                    links = sum(t == "a" for t, _ in stack)
+                        close(CLOSES[tag])
                 if tag in RAW:
-                    close = source.lower().find(f"</{tag}", at) if len(source) < 4096 else self._find(source, tag, at)
-                    at = n if close < 0 else close
+                    end = RAW_END[tag].search(source, at)
+                    at = end.start() if end else n
                     stack.append((tag, self._node(tag, "", stack[-1][1], junk=True)))
+                    opened[tag] += 1
                     continue
                 if tag in VOID:
                     continue
                 node = stack[-1][1]
-                if tag in BLOCKS or tag in JUNK_TAGS or "hidden" in m[3]:
+                if tag in BLOCKS or tag in JUNK_TAGS or m[3] and self._named_junk(m[3], self.main[node]):
                     node = self._node(tag, m[3], node)
-                elif m[3] and self._named_junk(m[3]):
-                    node = self._node(tag, m[3], node)
-                if len(stack) < 5_000:
-                    stack.append((tag, node))
-                    links += tag == "a"
-
-    @staticmethod
-    def _find(source: str, tag: str, at: int) -> int:
-        m = re.compile(f"</{tag}", re.I).search(source, at)
-        return m.start() if m else -1
-
-    @staticmethod
-    def _close(stack: list[tuple[str, int]], kinds: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in kinds:
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPE:
-                return
+                stack.append((tag, node))
+                opened[tag] += 1
 
     @staticmethod
     def _named_junk(attributes: str, in_article: bool = False) -> bool:
@@ -147,7 +148,8 @@ class Page:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in JUNK_ROLES:
                 return True
             if name in ("class", "id"):
-                words = JUNK_WORDS.intersection(WORDS.findall(value))
+                # in an article only a whole name counts: text-side and related-work are its own
+                words = JUNK_WORDS.intersection(value.split() if in_article else WORDS.findall(value))
                 if words and not (in_article and words <= TITLE_WORDS):
                     return True
         return False
@@ -163,7 +165,7 @@ class Page:
         self.label.append(f"{tag}.{words}")
         self.parent.append(parent)
         # by tag 2, by name 1
-        self.junk.append(2 if junk or tag in JUNK_TAGS or tag == "header" and not inside else int(named))
+        self.junk.append(2 if junk or tag in JUNK_TAGS and not (inside and tag in LOOSE_TAGS) or tag == "header" and not inside else int(named))
         self.main.append(inside or tag in ("article", "main") or "role" in attributes and 'role="main"' in attributes)
         return len(self.label) - 1
 
