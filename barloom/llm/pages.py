@@ -29,8 +29,9 @@ import hashlib
 import html as entities
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +86,12 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block node they belong to
-        opened = Counter()  # how many of a kind are open: what is not open is not searched for
+        opened = defaultdict(int)  # how many of a kind are open: what is not open is not searched for
         pieces, at, n = self.pieces, 0, len(source)
 
         def cut(k: int) -> None:
-            opened.subtract(t for t, _ in stack[k:])
+            for t, _ in stack[k:]:
+                opened[t] -= 1
             del stack[k:]
 
         def close(kinds: tuple[str, ...]) -> None:
@@ -142,6 +144,7 @@ class Page:
                 opened[tag] += 1
 
     @staticmethod
+    @lru_cache(1 << 14)  # start tags of a host repeat
     def _named_junk(attributes: str, in_article: bool = False) -> bool:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -154,12 +157,17 @@ class Page:
                     return True
         return False
 
-    def _node(self, tag: str, attributes: str, parent: int, junk: bool = False) -> int:
+    @staticmethod
+    @lru_cache(1 << 14)
+    def _class_words(attributes: str) -> str:
         words = ""
-        if attributes:
-            for m in ATTRIBUTE.finditer(attributes):
-                if m[1].lower() == "class":
-                    words = " ".join(sorted(WORDS.findall((m[2] or m[3] or m[4] or "").lower())))
+        for m in ATTRIBUTE.finditer(attributes):
+            if m[1].lower() == "class":
+                words = " ".join(sorted(WORDS.findall((m[2] or m[3] or m[4] or "").lower())))
+        return words
+
+    def _node(self, tag: str, attributes: str, parent: int, junk: bool = False) -> int:
+        words = self._class_words(attributes) if attributes else ""
         inside = self.main[parent]
         named = bool(attributes) and tag not in ("html", "body", "main") and self._named_junk(attributes, inside)
         self.label.append(f"{tag}.{words}")
