@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.expr import deviation, inf_to_null, ratio
+from barloom.operators.align import reindex_symbols
 from barloom.operators.clean import mask_missing_price
 from barloom.operators.ranking import average_rank, descending_row_number, exact_median
 from barloom.operators.sizing import join_per_date
@@ -85,6 +86,15 @@ def neutralise_cap_industry(df: DataFrame, factors: Sequence[str], log_cap: str
     return cs_standardise(residual, factors, small_dates) if standardise else residual
 
 
+def onto_codes(df: DataFrame, codes: DataFrame, small_dates: bool = False) -> DataFrame:
+    """The rows of a cross-section table on a code list: every date has one row per code, NULL where there was none, other codes are
+    dropped. A code without any row is there on every date too. No join of dates with codes: ``align.reindex_symbols`` expands rows.
+    """
+    listed = codes.select("symbol").distinct()
+    known = df.join(listed, "symbol", "left_semi")
+    return reindex_symbols(known.unionByName(listed, allowMissingColumns=True), df.select("date"), small_dates).select(*df.columns)
+
+
 def neutralise_cap(df: DataFrame, factor: str = "factor", log_cap: str = "log_cap",
                    small_dates: bool = False) -> DataFrame:
     """Residual of the factor on log capital through the origin, per date."""

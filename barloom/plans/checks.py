@@ -400,6 +400,8 @@ check("A5_read_sectioned_ohlc", f"""
   select c.date, s.symbol, {', '.join(r('b.' + x, x) for x in FIELDS[:4])} from (select distinct date from bars_m) c
   cross join (select distinct symbol from bars_m) s left join bars_m b on b.date = c.date and b.symbol = s.symbol""")
 check("A2_read_csv_folder", f"select symbol, date, {cols(['close', 'volume'])} from bars_w")
+check("A2_read_csv_line_breaks", """select doc_id, lang, md5(nullif(text, '')) as text_md5, cast(length(nullif(text, '')) as bigint) as n_chars
+  from documents""")
 _wide = f"""select c.date, s.symbol, {{}} from (select distinct date from bars_m) c
   cross join (select distinct symbol from bars_m) s left join bars_m b on b.date = c.date and b.symbol = s.symbol"""
 check("A3_read_wide_panel", _wide.format(r("coalesce(b.close, 0)", "close")))
@@ -571,6 +573,11 @@ def neutral(f: str) -> str:
 check("F4_neutralise_cap_industry", f"""
   select f.date, f.symbol, {r('a.factor', 'factor', 5)}, {r('b.momentum', 'momentum', 5)} from factors f
   left join ({neutral('factor')}) a using (date, symbol) left join ({neutral('momentum')}) b using (date, symbol)""")
+check("F4_neutralised_on_codes", f"""
+  select d.date, c.symbol, {r('a.factor', 'factor', 5)}, {r('b.momentum', 'momentum', 5)} from (select distinct date from factors) d
+  cross join (select s_suppkey as symbol from supplier where s_suppkey % 3 > 0) c
+  left join ({neutral('factor')}) a on a.date = d.date and a.symbol = c.symbol
+  left join ({neutral('momentum')}) b on b.date = d.date and b.symbol = c.symbol""")
 _slope = f"sum(factor * log_cap) {_D} / nullif(sum(log_cap * log_cap) {_D}, 0)"
 check("F5_neutralise_cap", f"select date, symbol, {r(f'factor - log_cap * ({_slope})', 'factor')} from factors")
 _eves = "(select * from factors where date in (select eve from months))"

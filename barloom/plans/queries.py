@@ -66,6 +66,17 @@ def _(spark, sf):
     return readers.read_csv_folder(spark, path, schema, ["symbol", "date", "close", "volume"])
 
 
+@query("A2_read_csv_line_breaks")
+def _(spark, sf):
+    """Whole documents as quoted cells with line breaks, commas and quotes, read back."""
+    path = V.scratch(spark, "quoted")
+    docs = V.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    back = readers.read_csv_folder(spark, f"{path}/*.csv", "doc_id bigint, lang string, text string", ["doc_id", "lang", "text"])
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("A3_read_wide_panel")
 def _(spark, sf):
     path = V.scratch(spark, "wide")
@@ -425,6 +436,15 @@ def _(spark, sf):
         "date", "symbol", "factor", "momentum")
 
 
+@query("F4_neutralised_on_codes", 5)
+def _(spark, sf):
+    """The neutralised factors on the whole code list: a row per date and code."""
+    out = xsection.neutralise_cap_industry(V.factors(spark, sf), ["factor", "momentum"], small_dates=fits(spark, sf)).select(
+        "date", "symbol", "factor", "momentum")
+    codes = V.table(spark, sf, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("symbol"))
+    return xsection.onto_codes(out, codes, fits(spark, sf))
+
+
 @query("F5_neutralise_cap")
 def _(spark, sf):
     return xsection.neutralise_cap(V.factors(spark, sf), small_dates=fits(spark, sf)).select("date", "symbol", "factor")

@@ -42,10 +42,11 @@ def read_csv_folder(spark: SparkSession, path: str, schema: StructType | str, co
     """All CSV files of a glob, listed columns by the names in each file's own header.
 
     Files may order their columns differently and hold more of them; a listed column that a file lacks is NULL there. The
-    header of a file is its first line; names and cells meet inside the row, so one scan reads all layouts.
+    header of a file is its first record; names and cells meet inside the row, so one scan reads all layouts. Quoted cells may
+    hold commas, quotes and line breaks.
     """
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    lines = _placed(spark.read.text(path).withColumnRenamed("value", "line"))
+    lines = _records(_placed(spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")))
     rows = (_with_heads(lines).withColumn("_names", F.transform(_csv_cells("_head"), _plain)).withColumn("_cells", _csv_cells("line")))
 
     def cell(name: str) -> Column:
@@ -55,6 +56,58 @@ def read_csv_folder(spark: SparkSession, path: str, schema: StructType | str, co
     return rows.select(*[cell(c) for c in columns])
 
 
+def _with_quotes(batches):
+    """Lines in file order with the quotes counted along each file split: whether the line's own number is odd (_odd), whether that of the
+    split's lines before is (_before), and how many lines so far open a record, if the split begins outside (_open0) or inside (_open1) quotes."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split, inside, opened = None, 0, [0, 0]
+    for batch in batches:
+        odd = pc.fill_null(pc.count_substring(batch.column("line"), '"'), 0).to_numpy(zero_copy_only=False) % 2
+        keys = list(zip(batch.column("_file").to_pylist(), batch.column("_block").to_pylist()))
+        borders = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        before, counts = np.zeros(len(keys), np.int64), np.zeros((2, len(keys)), np.int64)
+        for start, stop in zip(borders, borders[1:]):
+            if stop > start:
+                if keys[start] != split:
+                    split, inside, opened = keys[start], 0, [0, 0]
+                part = odd[start:stop]
+                before[start:stop] = (inside + np.cumsum(part) - part) % 2
+                for o in (0, 1):
+                    counts[o, start:stop] = opened[o] + np.cumsum((before[start:stop] == o) & (part == 1))
+                    opened[o] = int(counts[o, stop - 1])
+                inside = int(before[stop - 1] + part[-1]) % 2
+        for name, values in (("_odd", odd), ("_before", before), ("_open0", counts[0]), ("_open1", counts[1])):
+            batch = batch.append_column(name, pa.array(values, pa.int64()))
+        yield batch
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines of ``_placed`` files joined to records: a line break between quotes is part of a cell.
+
+    Whether a line begins inside quotes is the parity of all quotes before it. Each file split counts its own, for both ways it may begin;
+    a running sum over the splits of a file (one row each) says which way it did, so borders are found in parallel. Only the lines of
+    records with breaks are exchanged to be joined.
+    """
+    places = "line string, _file string, _block long, _at long"
+    marked = lines.select("line", "_file", "_block", "_at").mapInArrow(_with_quotes, f"{places}, _odd long, _before long, _open0 long, _open1 long")
+    splits = marked.groupBy("_file", "_block").agg((F.sum("_odd") % 2).alias("_parity"), F.max("_open0").alias("_o0"), F.max("_open1").alias("_o1"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = splits.withColumn("_inside", F.coalesce(F.sum("_parity").over(earlier), F.lit(0)) % 2)
+    offset = F.coalesce(F.sum(F.when(F.col("_inside") == 0, F.col("_o0")).otherwise(F.col("_o1"))).over(earlier), F.lit(0))
+    placed = marked.join(begun.select("_file", "_block", "_inside", offset.alias("_offset")), ["_file", "_block"])
+    before = (F.col("_before") + F.col("_inside")) % 2
+    one = (before == 0) & (F.col("_odd") == 0)
+    opener = F.col("_offset") + F.when(F.col("_inside") == 0, F.col("_open0")).otherwise(F.col("_open1"))
+    parts = F.sort_array(F.collect_list(F.struct("_block", "_at", "line")))
+    joined = placed.where(~one).groupBy("_file", opener.alias("_record")).agg(parts.alias("_parts")).select(
+        F.array_join(F.transform("_parts", lambda x: x["line"]), "\n").alias("line"), "_file", F.col("_parts")[0]["_block"].alias("_block"),
+        F.col("_parts")[0]["_at"].alias("_at"))
+    return placed.where(one).select("line", "_file", "_block", "_at").union(joined).withColumn("line", F.regexp_replace("line", "\\r$", ""))
+
+
 def _csv_cells(line: Column | str) -> Column:
     """Cells of a line, quotes kept. Each character is read once: the repeats are possessive and cells never go back."""
     return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1)), lambda x: x)

@@ -28,3 +28,13 @@ def test_both_ways_agree(spark):
 def test_groups_fit(spark):
     df = spark.createDataFrame(rows(50), "date string, symbol int, v double, w double")
     assert sizing.groups_fit(df, limit=50) and not sizing.groups_fit(df, limit=5) and sizing.groups_fit(df.limit(0), limit=5)
+
+
+def test_onto_codes(spark):
+    from barloom.operators import xsection
+
+    df = spark.createDataFrame([("2020-01-01", "a", 1.0), ("2020-01-02", "b", 2.0), ("2020-01-02", "x", 3.0)], "date string, symbol string, f double").withColumn("date", F.to_date("date"))
+    codes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "symbol string")
+    got = sorted((str(r.date), r.symbol, r.f) for r in xsection.onto_codes(df, codes).collect())
+    days = ("2020-01-01", "2020-01-02")
+    assert got == sorted((d, s, {("2020-01-01", "a"): 1.0, ("2020-01-02", "b"): 2.0}.get((d, s))) for d in days for s in "abc")

@@ -111,3 +111,25 @@ def test_feature_matrix_wide(spark, frame):
     df = frame("symbol string, date date, f double", rows)
     got = features.feature_matrix_wide(df, "f", wide.numbered_keys(df, "symbol")).orderBy("date").collect()
     assert [r["values"] for r in got] == [[float(i)] * 2 for i in range(3)]
+
+
+@pytest.mark.parametrize("split", [97, 1 << 20])
+def test_csv_line_breaks_over_splits(spark, tmp_path, split):
+    """Records with line breaks in quotes, cut into file splits anywhere."""
+    r = random.Random(split)
+    cells = ["plain", "a,b", 'say "x"', "two\nlines", "\n", 'q""\n"\n,', "", "é\n\n日", "tail\n" * 8, "cr\rin"]
+    rows = [(i, r.choice(cells), r.choice(cells)) for i in range(120)]
+    quote = lambda x: '"' + x.replace('"', '""') + '"' if x and (any(c in x for c in ',"\n\r') or r.random() < .3) else x
+    for k in (0, 1):
+        body = "".join(f"{i},{quote(a)},{quote(b)}\n" for i, a, b in rows[k::2])
+        (tmp_path / f"f{k}.csv").write_bytes(("id,a,b\n" + body).encode())
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = readers.read_csv_folder(spark, f"{tmp_path}/*.csv", "id int, a string, b string", ["id", "b", "a"]).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((x.id, x.a, x.b) for x in got) == [(i, a or None, b or None) for i, a, b in rows]
