@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.functions.expr import deviation, guarded_corr, ratio
-from barloom.functions.logits import argmax_class, parse_logits, softmax
+from barloom.functions.logits import argmax_class, parse_logits, up_probability
 from barloom.operators.ranking import average, value_ranks, window_average
 
 
@@ -95,7 +95,7 @@ def with_class(df: DataFrame, logits: str = "logits", out: str = "pred_class") -
 
 
 def with_softmax(df: DataFrame, logits: str = "logits", out: str = "prob") -> DataFrame:
-    return df.withColumn(out, F.get(softmax(logits), F.lit(1)))
+    return df.withColumn(out, up_probability(logits))
 
 
 def ic_by_day(df: DataFrame, pred: str = "pred", label: str = "label", small_groups: bool = False) -> DataFrame:

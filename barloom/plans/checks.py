@@ -735,6 +735,8 @@ check("K13_nav_metrics", f"select strategy, {cols(_mm)}, n_days from model_metri
 check("K14_best_model_by_sharpe", f"""select strategy, {cols(_mm)}, n_days from model_metrics
   order by sharpe_ratio desc, strategy desc limit 1""")
 check("K15_benchmark_nav", f"select date, {cols(['ret', 'nav'])} from ({_bench})")
+check("K15_equal_weight_benchmark", f"""select date, {r('coalesce(avg(ret), 0)', 'benchmark_return')} from (
+  select date, close / lag(close) over ({WSYM}) - 1 as ret from panel) group by date""")
 check("K16_scoring_calendar", """select date from (select date, row_number() over (order by date) - 1 as pos
   from (select distinct date from labels)) where pos >= 200 order by date desc limit 30""")
 check("K17_layer_backtest_panel", "select n.date, " + ", ".join(

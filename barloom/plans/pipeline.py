@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from barloom.operators import align, clean, evaluate, features, nav, portfolio, targets, windows, xsection
+from barloom.operators import align, clean, features, nav, portfolio, targets, windows, xsection
 from barloom.operators.sizing import join_per_date
 
 
@@ -51,7 +51,3 @@ def score_report(scores: DataFrame, prices: DataFrame, benchmark: DataFrame, k:
     daily = portfolio.backtest_daily(scores, prices, benchmark, k, fee, small_dates=small_dates)
     return {"daily_returns": daily, "positions": portfolio.positions(scores, k),
             "summary": nav.performance_metrics(daily)}
-
-
-def evaluation_report(judged: DataFrame) -> dict[str, DataFrame]:
-    return {"ic_by_day": evaluate.ic_by_day(judged), "evaluation_summary": evaluate.evaluation_summary(judged)}

@@ -860,6 +860,12 @@ def _(spark, sf):
     return nav.benchmark_nav(V.index_close(spark, sf))
 
 
+@query("K15_equal_weight_benchmark")
+def _(spark, sf):
+    """Mean return per date, for panels without an index series."""
+    return portfolio.benchmark_returns(V.panel(spark, sf))
+
+
 @query("K16_scoring_calendar")
 def _(spark, sf):
     return align.scoring_calendar(V.labels(spark, sf), 30, 200, "2001-01-01", "2001-06-30")
