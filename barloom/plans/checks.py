@@ -684,6 +684,9 @@ _ranks4 = "(select unnest(range(4))::integer as rank)"
 check("H5_spectral_residual", f"select symbol, rank, 0.0::double as residual from (select distinct symbol from labels) cross join {_ranks4}")
 check("H5_spectral_gram", f"""select a.rank as i, b.rank as j, case when a.rank = b.rank then 1.0::double else 0.0::double end as product, true as ordered
   from {_ranks4} a join {_ranks4} b on a.rank <= b.rank""")
+check("H6_structural_twins", """
+  select symbol, 128 as dims, symbol in (select src from both_links) as linked, symbol in (select src from both_links) as twin_near
+  from (select distinct symbol from labels)""")
 check("I1_parse_logits", f"""
   select date, symbol, pattern, 2 as n, {r('down', 'first')}, {r('up', 'second')} from logits
   cross join (values ('evaluate'), ('results')) v(pattern)""")

@@ -658,6 +658,30 @@ def _(spark, sf):
                       F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("length"))
 
 
+@query("H6_structural_twins")
+def _(spark, sf):
+    """The graph beside a copy of itself: a node and its twin have the same surroundings and no path between them, so their vectors
+    are nearer than the node's to all others on average. Nodes without edges are zero vectors."""
+    edges, nodes = _links(spark, sf)
+    copies = F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
+    twice = [F.col(c) * 2 + F.col("copy") for c in ("src", "dst", "symbol")]
+    out = V.stored(spark, sf, "twins", lambda: embedding.structural_embedding(
+        edges.select("*", copies).select(twice[0].alias("src"), twice[1].alias("dst")),
+        nodes.select("*", copies).select(twice[2].alias("symbol"))))
+
+    def product(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+    size = F.sqrt(product("embedding", "embedding"))
+    units = out.select("symbol", "embedding", size.alias("size"), F.transform("embedding", lambda x: F.when(size > 0, x / size).otherwise(0.0)).alias("unit"))
+    mean = units.where("size > 0").select(F.posexplode("unit")).groupBy("pos").agg(F.avg("col").alias("col")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "col")))["col"]).scalar()  # as long as one vector
+    twin = units.where("symbol % 2 = 1").select((F.col("symbol") - 1).alias("symbol"), F.col("unit").alias("other"))
+    return (units.where("symbol % 2 = 0").join(twin, "symbol").withColumn("mean", mean)
+            .select((F.col("symbol") / 2).cast("bigint").alias("symbol"), F.size("embedding").alias("dims"), (F.col("size") > 0).alias("linked"),
+                    F.coalesce(product("unit", "other") > product("unit", "mean"), F.lit(False)).alias("twin_near")))
+
+
 # Logit cells.
 
 @query("I1_parse_logits")

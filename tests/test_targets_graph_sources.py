@@ -83,6 +83,42 @@ def test_structural_embedding(spark):
     assert not out[99].any() and all(out[i].any() for i in out if i != 99)
 
 
+def test_cooccurrence_and_factors_against_numpy(spark):
+    paths = [[1, 2, 3, 1], [2, 2, 4], [5], [4, 3, 2, 1, 5, 4, 4]]
+    counts = np.zeros((6, 6))
+    for path in paths:
+        for i, x in enumerate(path):
+            for y in path[i + 1:i + 3]:
+                counts[x, y] += 1
+                counts[y, x] += 1
+    margin = counts.sum(axis=1)
+    with np.errstate(invalid="ignore"):
+        ref = np.nan_to_num(np.log1p(counts * counts.sum() / np.outer(margin, margin)))
+    matrix = embedding.cooccurrence(spark.createDataFrame([(p,) for p in paths], "path array<bigint>"), 2)
+    got = np.zeros((6, 6))
+    for r in matrix.collect():
+        got[r.src, r.dst] += r.value
+    assert np.allclose(got, ref)
+    for dims in (3, 8):
+        out = {r.symbol: np.array(r.embedding) for r in embedding.factorised(matrix, dims, 5).collect()}
+        e = np.array([out[i] for i in range(1, 6)])
+        values = np.sort(np.abs(np.linalg.eigvalsh(ref[1:, 1:])))[::-1]
+        want = np.pad(values, (0, max(0, dims - 5)))[:dims]
+        assert np.allclose((e * e).sum(axis=0), want, atol=1e-2)
+        assert np.allclose(e.T @ e, np.diag(want), atol=1e-2)
+
+
+def test_nodes_alike_are_near(spark):
+    """Two equal trees without a link between them: a node's twin is nearer than the average of all nodes."""
+    tree = [(0, 1), (0, 2), (0, 3), (1, 4), (1, 5), (2, 6), (6, 7), (7, 8), (3, 9)]
+    edges = spark.createDataFrame([(a + s, b + s, 1.0) for a, b in tree for s in (0, 100)], "src bigint, dst bigint, weight double")
+    nodes = spark.createDataFrame([(i + s,) for i in range(10) for s in (0, 100)], "symbol bigint")
+    out = {r.symbol: np.array(r.embedding) for r in embedding.structural_embedding(edges, nodes, dims=8, walks=10, length=20).collect()}
+    unit = {i: v / np.linalg.norm(v) for i, v in out.items()}
+    mean = np.mean(list(unit.values()), axis=0)
+    assert all(unit[i] @ unit[i + 100] > unit[i] @ mean for i in range(10))
+
+
 def test_score_windows_modes(spark):
     df = spark.createDataFrame([(i % 3, float(i)) for i in range(9)], "sample int, x double")
     plain = scoring.score_windows(df, lambda f: f.assign(x=f.x * 2), "sample int, x double")
