@@ -40,6 +40,8 @@ BANDS, ROWS = 48, 5
 BITS = 1024
 #: members of a component that stand for it in a bucket in the first of the last two steps
 PARTNERS = 4
+#: classes that a task may hold as a hash table (a long each, some 200 MB in all); beyond that an exchange finds them
+HELD = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -114,8 +116,9 @@ def bits_apart(similarity: float) -> int:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(1)
     for batch in batches:
-        nodes, sizes, keys, sketches = [], [], [], []
+        nodes, sizes, keys, sketches, packed = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             values = shingles(text)
             sizes.append(len(values))
@@ -124,55 +127,45 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(name_of(values))
                 keys.append(band_keys(low))
                 sketches.append(np.concatenate((odd_sketch(low), parity(values))))
+                packed.append(pack.compress(text.encode("utf-8", "surrogatepass")))
             else:
-                nodes.append(None)
-                keys.append(None)
-                sketches.append(None)
+                for column in (nodes, keys, sketches, packed):
+                    column.append(None)
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-            pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-            names=["doc_id", "node", "n_shingles", "bands", "sketch"])
-
+            pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+            names=["doc_id", "node", "n_shingles", "bands", "sketch", "z"])
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(1)
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        names = [name_of(v) if len(v := shingles(t)) else None for t in texts]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(names, pa.int64()),
-            pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], names=["node", "z"])
 
-
-def _unpacked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        sets = [shingles(unpack.decompress(z).decode("utf-8", "surrogatepass")).tobytes() for z in batch.column("z").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "members"])
+    known: dict = {"a": (None, None), "b": (None, None)}  # the last set of each side: after a join by class equal ones are neighbours
 
+    def members(side: str, node: int, z) -> np.ndarray:
+        if known[side][0] != node:
+            known[side] = node, shingles(unpack.decompress(z).decode("utf-8", "surrogatepass"))
+        return known[side][1]
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in "abxy")):
+            x, y = members("a", a, x), members("b", b, y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= 75 * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, class, set size, bands and sketch of every document."""
+    """doc_id, class, set size, bands, sketch and compressed text of every document."""
     return docs.select("doc_id", "text").mapInArrow(
         _sketched, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(
-            "node long, n_shingles long, bands array<long>, sketch array<long>").fields]))
+            "node long, n_shingles long, bands array<long>, sketch array<long>, z binary").fields]))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full sets of the classes in ``wanted`` (column node). Texts travel compressed, once per class and task."""
-    texts = docs.select("text").mapInArrow(_packed, "node long, z binary").filter("node is not null")
-    one = texts.groupBy("node").agg(F.first("z").alias("z"))
-    return one.join(wanted, "node", "left_semi").mapInArrow(_unpacked_sets, "node long, members binary")
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the classes in ``wanted`` (column node). Up to HELD classes every task holds them, so only their rows travel later."""
+    small = wanted.limit(HELD + 1).count() <= HELD
+    return rows.join(F.broadcast(wanted) if small else wanted, "node", "left_semi")
 
 
 def promising(a: str, b: str) -> Column:
@@ -191,25 +184,25 @@ def sketched(rows: DataFrame, sketches: DataFrame, side: str) -> DataFrame:
                                      F.col("bands").alias(f"bands_{side}")), side)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked on the full sets."""
-    x, y = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked on the full sets. Compressed texts travel, half as large as their sets of 64-bit values."""
+    x, y = texts.select(F.col("node").alias("a"), F.col("z").alias("x")), texts.select(F.col("node").alias("b"), F.col("z").alias("y"))
     return pairs.join(x, "a").join(y, "b").mapInArrow(_linked, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, node (class, null without words), n_shingles, component_id, kept."""
     rows = cut_lineage(sketch_documents(docs))
-    classes = rows.filter("node is not null").dropDuplicates(["node"])
+    classes = cut_lineage(rows.filter("node is not null").select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"]))
     keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
     members = cut_lineage(keyed.join(cut_lineage(shared), "key"))
     wanted = cut_lineage(members.select("node").distinct())
-    sketches = cut_lineage(classes.select("node", "sketch", "n_shingles", "bands").join(wanted, "node", "left_semi"))
-    sets = cut_lineage(full_sets(docs, wanted))
+    sketches = cut_lineage(only(classes, wanted))
+    texts = cut_lineage(only(rows.select("node", "z"), wanted).groupBy("node").agg(F.first("z").alias("z")))
 
     leaders = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
-    links = cut_lineage(confirm(cut_lineage(_promising_pairs(leaders, sketches)), sets))
+    links = cut_lineage(confirm(cut_lineage(_promising_pairs(leaders, sketches)), texts))
     found = cut_lineage(grow_components(wanted, links))
 
     for step in ("closest", "all"):
@@ -217,7 +210,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         if mixed.isEmpty():
             break
         pairs = _remaining_pairs(mixed, sketches, step == "closest")
-        links = cut_lineage(links.union(confirm(cut_lineage(pairs), sets)))
+        links = cut_lineage(links.union(confirm(cut_lineage(pairs), texts)))
         found = cut_lineage(grow_components(wanted, links))
 
     named = rows.select("doc_id", "node", "n_shingles").join(found, "node", "left").withColumn(
